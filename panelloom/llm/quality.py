@@ -20,6 +20,8 @@ MOST_BYTES = 6000
 DICTIONARY_BYTES = 256 << 10
 #: Texts are compressed in parts of this many bytes, so that long ones depend on the dictionaries as short ones do.
 PART_BYTES = 2048
+#: Added to a text's bytes: about what a frame takes besides its content.
+FRAME_BYTES = 50
 LEVEL = 3
 FOLDS = 5
 
@@ -32,8 +34,7 @@ def fold(doc_id) -> int:
 class Model:
     good: bytes
     bad: bytes
-    slope: float
-    intercept: float
+    weights: tuple[float, float, float]
 
     def __post_init__(self):
         self._made = None
@@ -52,8 +53,11 @@ class Model:
             ]
         return self._made
 
-    def difference(self, text: str | None) -> float:
-        """(bytes under bad - bytes under good) / (bytes under bad + bytes under good); 0 for an empty text."""
+    def sizes(self, text: str | None) -> tuple[float, float]:
+        """Compressed-size difference, bad less good, and mean compressed size, both as shares of the text's bytes.
+
+        The second tells texts that repeat themselves, whose difference is next to nothing under any dictionary.
+        """
         raw = (text or "").encode("utf-8", "replace")
         good, bad = self._compressors()
         g = b = 0
@@ -61,10 +65,12 @@ class Model:
             part = raw[low : low + PART_BYTES]
             g += len(good.compress(part))
             b += len(bad.compress(part))
-        return (b - g) / (b + g) if raw else 0.0
+        return (b - g) / (len(raw) + FRAME_BYTES), (b + g) / 2 / (len(raw) + FRAME_BYTES)
 
     def score(self, text: str | None) -> float:
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * self.difference(text) + self.intercept, -40, 40))))
+        difference, size = self.sizes(text)
+        w = self.weights
+        return float(1.0 / (1.0 + np.exp(-np.clip(w[0] * difference + w[1] * size + w[2], -40, 40))))
 
 
 def _dictionary(texts: list[str]) -> bytes:
@@ -75,41 +81,40 @@ def _dictionary(texts: list[str]) -> bytes:
     return b"".join(t.encode("utf-8", "replace")[:each] for t in texts)[-DICTIONARY_BYTES:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's method, with a small ridge on the slope of the scaled difference."""
-    scale = x.std() or 1.0
-    z = np.column_stack([x / scale, np.ones(len(x))])
-    w = np.zeros(2)
-    for _ in range(50):
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Weights of both features and intercept by Newton's method, with a small ridge on the scaled features."""
+    scale = np.append(np.where(x.std(0) > 0, x.std(0), 1.0), 1.0)
+    z = np.column_stack([x, np.ones(len(x))]) / scale
+    w = np.zeros(3)
+    ridge = np.array([1e-2, 1e-2, 1e-6])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        ridge = np.array([1e-2, 1e-6])
         hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge)
-        step = np.linalg.solve(hess, z.T @ (y - p) - ridge * w)
-        w += np.clip(step, -5, 5)
+        step = np.clip(np.linalg.solve(hess, z.T @ (y - p) - ridge * w), -5, 5)
+        w += step
         if np.abs(step).max() < 1e-8:
             break
-    return w[0] / scale, w[1]
+    return tuple(float(v) for v in w / scale)
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Dictionaries from one half of each label's texts, calibration on the other half, then dictionaries from all.
 
-    With one label only, or none, every score is that label's share (0.5 without labels).
+    With one label only, or none, every score is near that label's share (0.5 without labels).
     """
     y = np.array(labels, int)
     good = [t for t, v in zip(texts, y, strict=True) if v == 1]
     bad = [t for t, v in zip(texts, y, strict=True) if v != 1]
-    if not good or not bad:
+    if len(good) < 2 or len(bad) < 2:
         share = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
-        return Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
+        return Model(b"", b"", (0.0, 0.0, float(np.log(share / (1 - share)))))
     x, truth = [], []
     for half in (0, 1):
-        model = Model(_dictionary(good[half::2]), _dictionary(bad[half::2]), 1.0, 0.0)
+        model = Model(_dictionary(good[half::2]), _dictionary(bad[half::2]), (0.0, 0.0, 0.0))
         for held, label in ((good[1 - half :: 2], 1), (bad[1 - half :: 2], 0)):
-            x += [model.difference(t) for t in held]
+            x += [model.sizes(t) for t in held]
             truth += [label] * len(held)
-    slope, intercept = _logistic(np.array(x), np.array(truth, float))
-    return Model(_dictionary(good), _dictionary(bad), float(slope), float(intercept))
+    return Model(_dictionary(good), _dictionary(bad), _logistic(np.array(x), np.array(truth, float)))
 
 
 def labelled_sample(
