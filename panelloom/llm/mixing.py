@@ -38,7 +38,7 @@ def source_targets(sized: DataFrame, source_col: str, weights: tuple[int, ...],
         (wanted - F.coalesce(F.sum(f"{P}cap").over(before), F.lit(0.0)))
         / (F.sum(f"{P}weight").over(every) - F.coalesce(F.sum(f"{P}weight").over(before), F.lit(0.0))),
     )
-    open_level = F.min(F.when(F.col(f"{P}level") <= F.col(f"{P}ratio"), F.col(f"{P}level"))).over(every)
+    open_level = F.max(F.when(F.col(f"{P}level") <= F.col(f"{P}ratio"), F.col(f"{P}level"))).over(every)
     return sources.select(
         F.col(source_col).alias(f"{P}source"),
         "source_size",

@@ -78,7 +78,7 @@ class ShardStore:
 
     def _tier(self):
         size = F.greatest(F.col("bytes"), F.lit(1)).cast("double")
-        return F.greatest(F.floor(F.log(F.lit(float(RATIO)), F.lit(float(self.target)) / size)), F.lit(0)).cast("int")
+        return F.greatest(F.floor(F.log(float(RATIO), F.lit(float(self.target)) / size)), F.lit(0)).cast("int")
 
     @contextlib.contextmanager
     def _packed_scans(self):

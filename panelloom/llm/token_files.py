@@ -128,7 +128,7 @@ def write(
             writer.close()
             out.close()
             name = own.rpartition("/")[2]
-            yield pd.DataFrame([(f"{root}/{name}", len(writer.rows), writer.tokens)], columns=["path", "n", "t"])
+            yield pd.DataFrame([(f"{root}/{name}", len(writer.rows), writer.tokens)], columns=["path", "n_documents", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), text_of(text_col).alias("t"))
     ordered = rows.repartitionByRange(n, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
