@@ -209,8 +209,9 @@ def estimate_density_ratio(source: DataFrame, target: DataFrame, features: list[
     parts = None
     for k in range(cv):
         fitted = model.fit(rows.filter(F.col("__fold") != k))
-        p = vector_to_array(fitted.transform(rows.filter((F.col("__fold") == k) & (F.col("__y") == 0)))["probability"])[1]
-        own = fitted.transform(rows.filter((F.col("__fold") == k) & (F.col("__y") == 0))).withColumn("weight", F.greatest(p / (1 - p), F.lit(1e-10)))
+        p = vector_to_array(F.col("probability"))[1]
+        own = fitted.transform(rows.filter((F.col("__fold") == k) & (F.col("__y") == 0)))
+        own = own.withColumn("weight", F.greatest(p / F.greatest(1 - p, F.lit(1e-12)), F.lit(1e-10)))
         own = own.select(*(q(c) for c in source.columns), "weight")
         parts = own if parts is None else parts.unionByName(own)
     cap = parts.agg(F.percentile("weight", F.lit(clip_quantile)).alias("cap"))

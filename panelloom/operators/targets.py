@@ -5,6 +5,7 @@ Order: transforms apply from left to right before any feature is computed, and a
 
 from __future__ import annotations
 
+import copy
 import functools
 from collections.abc import Callable
 from typing import Any
@@ -285,6 +286,14 @@ def _per_series(df: DataFrame, roles: Roles, fn: Callable[[np.ndarray], list[flo
     return slim.groupBy("id").applyInArrow(run, f"id {kind}, " + ", ".join(f"{n} double" for n in names))
 
 
+def fresh(transform: Any) -> Any:
+    """The same transform without what it learnt."""
+    out = copy.copy(transform)
+    for name in ("state", "stages", "roles"):
+        out.__dict__.pop(name, None)
+    return out
+
+
 def apply_all(transforms: list[Any], df: DataFrame, roles: Roles) -> DataFrame:
     return functools.reduce(lambda d, t: t.fit_transform(d, roles), transforms, df)
 

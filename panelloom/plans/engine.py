@@ -17,7 +17,7 @@ from ..functions.dates import DateFeature, date_dummies, date_feature, feature_n
 from ..functions.freq import Freq
 from ..operators.lag_transforms import Custom, Lag, LagTransform, Scope, as_transform, keep_last
 from ..operators.models import Fitted, fit_model, name_models
-from ..operators.targets import apply_all, undo_all
+from ..operators.targets import apply_all, fresh, undo_all
 from . import validate as checks
 from .features import Features, Roles, add_lag_features, q
 from .latest import latest
@@ -205,9 +205,10 @@ class Panel:
         self.scores: DataFrame | None = None
 
     def clone(self) -> Panel:
-        import copy
+        return Panel(dict(self.models), **self._fresh_options(), id_col=self.roles.id, time_col=self.roles.time, target_col=self.roles.target)
 
-        return Panel(dict(self.models), **copy.deepcopy(self.options), id_col=self.roles.id, time_col=self.roles.time, target_col=self.roles.target)
+    def _fresh_options(self) -> dict:
+        return self.options | {"target_transforms": [fresh(t) for t in self.options["target_transforms"] or []] or None}
 
     # -- training -------------------------------------------------------------------------------------------------
 
@@ -304,7 +305,7 @@ class Panel:
             raise ValueError("call fit first")
         if new_df is not None:
             source = self.plan
-            self.plan = Plan(**self.options, roles=self.roles)
+            self.plan = Plan(**self._fresh_options(), roles=self.roles)
             self.plan.prepare(new_df, static_features=[c for c in source.statics if c in new_df.columns], validate=True, weight_col=source.weight if source.weight in new_df.columns else None)
             self.plan.inputs = source.inputs
         if ids is not None:
