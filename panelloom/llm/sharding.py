@@ -122,8 +122,7 @@ class ShardStore:
             if merged.count() >= len(paths):
                 remove(self.spark, folder)
                 continue
-            gone = self.spark.createDataFrame([(p,) for p in paths], "path string")
-            rest = self.manifest(version).join(gone, "path", "left_anti")
+            rest = self.manifest(version).join(chosen.select("path"), "path", "left_anti")
             version = self._commit(rest.unionByName(merged), version)
             fs, _ = hadoop_fs(self.spark, self.root)
             for p in paths:
