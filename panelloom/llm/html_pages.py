@@ -20,7 +20,7 @@ CONTENT_ROOTS = [
     ("div", "entry-content"), ("div", "article-body"), ("div", "post-content"), ("div", "main-content"), ("article", "post"), ("div", "text"),
     ("div", "body"), ("div", "story"), ("section", ""), ("div", ""), ("section", "article"),
 ]
-CONTENT_BLOCKS = ["p"] * 12 + ["h1", "h2", "h3", "li", "blockquote", "pre", "td", "div", "figcaption", "dd"]
+CONTENT_BLOCKS = ["p"] * 12 + ["h1", "h2", "h3", "h4", "li", "blockquote", "pre", "td", "div", "figcaption", "dd"]
 
 
 def _words(rng: random.Random, n: int) -> str:
@@ -31,6 +31,8 @@ def _noise(rng: random.Random, depth: int = 0) -> str:
     tag, name = rng.choice(NOISE_BLOCKS)
     attribute = f' {rng.choice(["class", "class", "id"])}="{name}"' if name else ""
     kind = rng.random()
+    heading = rng.choice(["h1", "h2", "h3", "h3", "h4"])
+    title = f"<{heading}>{_words(rng, rng.randint(1, 5))}</{heading}>" if rng.random() < 0.35 else ""
     if kind < 0.45:
         inner = "<ul>" + "".join(f'<li><a href="/{i}">{_words(rng, rng.randint(1, 3))}</a></li>' for i in range(rng.randint(2, 8))) + "</ul>"
     elif kind < 0.6:
@@ -41,7 +43,7 @@ def _noise(rng: random.Random, depth: int = 0) -> str:
         inner = f"<div>{_noise(rng, depth + 1)}</div>"
     else:
         inner = _words(rng, rng.randint(2, 25)) + "."
-    return f"<{tag}{attribute}>{inner}</{tag}>"
+    return f"<{tag}{attribute}>{title}{inner}</{tag}>"
 
 
 def _content(rng: random.Random) -> str:

@@ -28,7 +28,7 @@ def test_top_k(spark, blocks):
     rng = np.random.default_rng(3)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.3, 6)]) for i in range(90)]
     rows += [(100 + i, rows[5][1]) for i in range(25)]  # ties
-    rows += [(140, None), (160, []), (180, [0.1, None, 0.1, 0.1, 0.1, 0.1]), (200, [0.1, float("nan"), 0, 0, 0, 0]), (220, [float("inf")] * 6), (240, [0.0] * 6), (None, [0.1] * 6)]
+    rows += [(140, None), (160, []), (180, [0.1, None, 0.1, 0.1, 0.1, 0.1]), (200, [0.1, float("nan"), 0.0, 0.0, 0.0, 0.0]), (220, [float("inf")] * 6), (240, [0.0] * 6), (None, [0.1] * 6)]
     df = spark.createDataFrame([(i, v, 1, 9) for i, v in rows], "vec_id long, embedding array<float>, label int, score int")
     got = {}
     for r in bitsliced.top_k(df, 20, block_rows=blocks[0], block_queries=blocks[1]).orderBy("query_id", "rank").collect():
