@@ -182,8 +182,10 @@ def test_token_files(spark, odd, tmp_path):
 
 def test_quality():
     rng = random.Random(1)
-    good = [words(rng, rng.randint(30, 120)) for _ in range(120)]
-    bad = [" ".join(w.upper() + "!!" for w in words(rng, rng.randint(30, 120)).split()) for _ in range(60)] + [f"{w} " * 80 for w in words(rng, 60).split()]
+    vocabulary = words(rng, 300).split()
+    text = lambda: [rng.choice(vocabulary) for _ in range(rng.randint(30, 120))]
+    good = [" ".join(text()) for _ in range(120)]
+    bad = [" ".join(w.upper() + "!!" for w in text()) for _ in range(60)] + [f"{w} " * 80 for w in vocabulary[:60]]
     model = quality.fit(good[::2] + bad[::2], [1] * 60 + [0] * len(bad[::2]))
     assert np.mean([model.score(t) >= 0.3 for t in good[1::2]]) > 0.95
     assert np.mean([model.score(t) < 0.3 for t in bad[1::2]]) > 0.9
