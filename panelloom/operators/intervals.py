@@ -218,14 +218,21 @@ def estimate_density_ratio(source: DataFrame, target: DataFrame, features: list[
     return parts.join(F.broadcast(cap)).withColumn("weight", F.least("weight", "cap")).drop("cap")
 
 
-def add_intervals(panel: Any, pred: DataFrame, levels: list[float], h: int, transfer: TransferConformal | None) -> DataFrame:
+def add_intervals(panel: Any, pred: DataFrame, levels: list[float], h: int, transfer: TransferConformal | None, weights: Any = None, ids: list | None = None) -> DataFrame:
     """Bounds for a fitted panel's predictions."""
     if panel.scores is None:
         raise ValueError("fit with prediction_intervals first")
     r, names, own = panel.roles, list(panel.fitted), panel.intervals
     if any(v <= 0 or v >= 100 for v in levels):
         raise ValueError("levels must lie between 0 and 100")
-    if transfer is not None:
+    if weights is not None:
+        if not own.method.startswith("weighted") or ids is not None or transfer is not None:
+            raise ValueError("weights need a weighted method, all ids and no transfer")
+        found = weights(panel.scores) if callable(weights) else weights
+        rows = panel.scores.join(found.select(q(r.id), "weight"), r.id)
+        mean = rows.agg(F.avg("weight")).first()[0] or 1.0
+        out = weighted_conformal(pred, rows, r, names, levels, "distribution" in own.method, float(mean))
+    elif transfer is not None:
         out = _transferred(panel, pred, levels, h, transfer)
     else:
         out = conformal(pred, panel.scores, r, names, levels, own.method, h, own.h)

@@ -171,6 +171,7 @@ class Plan:
         steps = horizons_of(max_horizon, horizons)
         transformed = apply_all(self.transforms, df, r) if self.transforms else df
         self.remember(df, transformed, keep_last_n)
+        self.transformed = transformed
         out = add_lag_features(transformed, r, self.features)
         made = [n for n in self.features if n not in df.columns]
         if steps:
@@ -271,6 +272,7 @@ class Panel:
         self.horizon_features = horizon_features
         self.fit_models(frame, steps, horizon_features)
         self.frame = frame if fitted else None
+        self.source_rows = self.plan.transformed if fitted else None
         return self
 
     def _routed(self, templates: list[str], steps: list[int] | None) -> dict[int, list[str]]:
@@ -299,8 +301,12 @@ class Panel:
     def predict(
         self, h: int, X_df: DataFrame | None = None, new_df: DataFrame | None = None, level: list[float] | None = None, ids: list | None = None,
         before_predict_callback: Frame | None = None, after_predict_callback: Frame | None = None, transfer: Any = None,
+        weights: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     ) -> DataFrame:
-        """id, time and a column for each model, with intervals for the levels if asked for."""
+        """id, time and a column for each model, with intervals for the levels if asked for.
+
+        weights (id, weight), or a function that gives them from the scores, weigh the scores of weighted interval methods.
+        """
         if not self.fitted:
             raise ValueError("call fit first")
         if new_df is not None:
@@ -321,7 +327,7 @@ class Panel:
         if level:
             from ..operators.intervals import add_intervals
 
-            return add_intervals(self, out, sorted(level), h, transfer)
+            return add_intervals(self, out, sorted(level), h, transfer, weights, ids)
         return out.select(q(self.roles.id), q(self.roles.time), *(q(n) for n in names))
 
     def _future(self, h: int, X_df: DataFrame | None, ids: list | None) -> DataFrame:
@@ -434,10 +440,62 @@ class Panel:
 
     # -- in-sample, back-testing, state ---------------------------------------------------------------------------
 
-    def forecast_fitted_values(self, level: list[float] | None = None) -> DataFrame:
-        """In-sample predictions of fit(fitted=True): id, time, target, models, and h for direct models."""
+    def dropped_series(self, frame: DataFrame) -> DataFrame:
+        """Ids of series whose last row did not make it into a preprocessed frame: they are too short for the features."""
+        r = self.roles
+        last = self.plan.history.groupBy(q(r.id).alias(r.id)).agg(F.max(q(r.time)).alias(r.time))
+        return last.join(frame.select(q(r.id), q(r.time)), [r.id, r.time], "left_anti").select(q(r.id))
+
+    def to_local(self) -> dict[str, Any]:
+        """The state as pandas frames on the driver, for panels that are small enough: history and last times."""
+        return {"history": self.plan.history.toPandas(), "ends": self.plan.ends().toPandas()}
+
+    def _rolled(self, h: int) -> DataFrame:
+        """Predictions h steps ahead from every row, each series by itself: id, time, a column for each model."""
+        r, plan = self.roles, self.plan
+        models = {n: f.row_function() for n, f in self.fitted.items()}
+        if not plan.is_local or not all(models.values()):
+            raise ValueError("fitted values for more steps need local features and models of a row")
+        if any(hasattr(t, "stages") for t in plan.transforms):
+            raise ValueError("fitted values for more steps can't undo differences")
+        features, inputs_of = plan.features, {n: f.features for n, f in self.fitted.items()}
+        rows = plan.with_dates(self.source_rows)
+        given = [c for c in dict.fromkeys(c for i in inputs_of.values() for c in i) if c not in features]
+        rows = rows.select(q(r.id), q(r.time), q(r.target).cast("double").alias(r.target), *(q(c).cast("double").alias(c) for c in given))
+        schema = T.StructType([rows.schema[r.id], rows.schema[r.time], *(T.StructField(n, T.DoubleType()) for n in models)])
+
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by(r.time)
+            values = table[r.target].to_numpy(zero_copy_only=False)
+            own = {c: table[c].to_numpy(zero_copy_only=False) for c in given}
+            out = table.select([r.id, r.time])
+            for name, model in models.items():
+                found = np.full(len(values), np.nan)
+                for i in range(len(values) - h + 1):
+                    seen = values[:i]
+                    for j in range(i, i + h):
+                        x = np.array([latest(seen, *features[c]) if c in features else own[c][j] for c in inputs_of[name]], float)
+                        seen = np.append(seen, model(x))
+                    found[i + h - 1] = seen[-1]
+                out = out.append_column(name, pa.array(found, pa.float64(), from_pandas=True))
+            return out
+
+        found = rows.groupBy(q(r.id)).applyInArrow(run, schema)
+        some = F.coalesce(*(q(n) for n in models)).isNotNull()
+        return found.filter(some)
+
+    def forecast_fitted_values(self, level: list[float] | None = None, h: int = 1) -> DataFrame:
+        """In-sample predictions of fit(fitted=True): id, time, target, models, and h, the step they were made ahead.
+
+        Direct models give all their steps; a recursive model rolls h steps forward from every row.
+        """
         if getattr(self, "frame", None) is None:
             raise ValueError("fit with fitted=True first")
+        if h > 1 and not self.steps:
+            r, names = self.roles, list(self.fitted)
+            actual = self.plan.original.select(q(r.id), q(r.time), q(r.target).alias("__actual"))
+            rows = undo_all(self.plan.transforms, self._rolled(h).withColumn("step", F.lit(1)), names, fitted=True)
+            return rows.join(actual, [r.id, r.time]).select(q(r.id), q(r.time), F.col("__actual").alias(r.target), *(q(n) for n in names), F.lit(h).cast("long").alias("h"))
         r, names, parts = self.roles, list(self.fitted), []
         actual = self.plan.original.select(q(r.id), q(r.time), q(r.target).alias("__actual"))
         for h in self.steps or [1]:

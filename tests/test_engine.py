@@ -256,3 +256,37 @@ def test_streaming_append(spark, tmp_path):
     append_stream(spark.readStream.schema(schema).parquet(source), table, state).awaitTermination()
     got = sorted(tuple(r) for r in history(spark, table).collect())
     assert got == [("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, 3.0), ("b", 1, 5.0)]
+
+
+def test_save_features(spark, daily):
+    from panelloom.operators.callbacks import SaveFeatures
+
+    seen = SaveFeatures()
+    naive().fit(daily).predict(2, before_predict_callback=seen)
+    assert seen.get_features(with_step=True).select("step").distinct().count() == 2
+    assert "lag7" in seen.get_features().columns
+    with pytest.raises(ValueError):
+        SaveFeatures().get_features()
+
+
+def test_fitted_values_of_more_steps(spark, daily):
+    """Eight steps ahead the naive forecast has to roll over its own first step: the value of two weeks before."""
+    df = daily.drop("static_0")
+    panel = naive().fit(df, fitted=True)
+    got = panel.forecast_fitted_values(h=8).toPandas().set_index(["unique_id", "ds"])
+    assert set(got.h) == {8}
+    for uid, own in df.toPandas().sort_values("ds").groupby("unique_id"):
+        y = own.y.to_numpy()
+        np.testing.assert_allclose(got.loc[uid].sort_index().naive, y[: len(y) - 14])
+    assert panel.dropped_series(panel.preprocess(df)).count() == 0
+    assert set(panel.to_local()) == {"history", "ends"}
+
+
+def test_weights_of_scores(spark, daily):
+    df = daily.drop("static_0")
+    panel = naive().fit(df, prediction_intervals=iv.PredictionIntervals(3, 2, "weighted_conformal_error"))
+    weights = df.select("unique_id").distinct().withColumn("weight", F.lit(1.0))
+    out = panel.predict(2, level=[50], weights=weights).toPandas()
+    assert (out["naive-lo-50"] <= out["naive-hi-50"]).all() and out["naive-hi-50"].notna().all()
+    with pytest.raises(ValueError):
+        panel.predict(2, level=[50], weights=weights, ids=["id_1"])
