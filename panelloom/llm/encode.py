@@ -9,11 +9,17 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Distinct words that a process remembers before it starts anew.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 300_000
 #: A space beside other white space, or at the end, may belong to a longer run.
 IRREGULAR = re.compile(r" \s|\s | \Z")
 #: Marks a word that no space precedes.
 FIRST = "\0"
+#: Stands for the line break before a word that begins a line.
+LINE = "\1"
+#: How a byte-level vocabulary writes a space.
+SPACE = "\u0120"
+#: New words that go through the library as one text.
+TOGETHER = 512
 
 _encoders: dict[str, Encoder] = {}
 
@@ -48,6 +54,9 @@ class Encoder:
         self.by_word = (
             spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         )
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self._clear()
 
     def _clear(self):
@@ -57,20 +66,35 @@ class Encoder:
         self.lens = np.empty(0, np.int64)
 
     def _learn(self):
-        new = [w[1:] if w[:1] == FIRST else " " + w for w in self.slots.new]
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        lens = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        """Ids of new words: many in one text, cut where a token begins with a space, as only the first of a word does."""
+        new = self.slots.new
+        plain = [i for i, w in enumerate(new) if w and w[0] != FIRST and w[0] != LINE]
+        groups = [plain[low : low + TOGETHER] for low in range(0, len(plain), TOGETHER)]
+        found: list[list[int] | None] = [None] * len(new)
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(" " + new[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(group):
+                for i, part in zip(group, np.split(ids, starts[1:]), strict=True):
+                    found[i] = part
+        rest = [i for i, f in enumerate(found) if f is None]
+        text = {FIRST: "", LINE: "\n"}
+        texts = [text[new[i][0]] + new[i][1:] if new[i][:1] in text else " " + new[i] for i in rest]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            found[i] = np.array(e.ids, np.uint32)
+        lens = np.fromiter(map(len, found), np.int64, len(found))
         total = int(lens.sum())
         if self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.empty(max(self.used, total) + total, np.uint32)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for e in encoded for i in e.ids), np.uint32, total)
+        if total:
+            self.flat[self.used : self.used + total] = np.concatenate(found)
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens) - lens])
         self.lens = np.concatenate([self.lens, lens])
         self.used += total
         self.slots.new = []
 
     def _regular(self, text: str) -> bool:
-        return self.by_word and not (FIRST in text or IRREGULAR.search(text) or any(s in text for s in self.special))
+        return self.by_word and not (FIRST in text or LINE in text or IRREGULAR.search(text) or any(s in text for s in self.special))
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text without special tokens, as unsigned 32-bit integers; null counts as empty."""
@@ -82,7 +106,8 @@ class Encoder:
             if not text:
                 continue
             if self._regular(text):
-                own = text.split(" ")
+                # A line break between two other characters is a piece of its own, as is what follows it.
+                own = (text if "\n\n" in text else text.replace("\n", " " + LINE)).split(" ")
                 own[0] = FIRST + own[0]
                 at.append(i)
                 counts.append(len(own))
