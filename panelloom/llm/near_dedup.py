@@ -19,8 +19,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 28, 5
 #: In buckets of up to so many texts all pairs are checked.
 SMALL = 24
-#: Rounds of new leaders for larger buckets whose texts are not yet in one class.
-ROUNDS = 3
+#: Further leaders of larger buckets that texts of other classes are checked with.
+LEADERS = 8
 #: Shingles for which signatures are thrown at once.
 AT_ONCE = 100_000
 
@@ -97,18 +97,19 @@ def _small_pairs(members: DataFrame, counts: DataFrame, similarity: float) -> Da
     return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
-def _leader_pairs(members: DataFrame, similarity: float, seed: int, leaders: int = 2) -> DataFrame:
-    """Each text of a bucket with the bucket's leaders; leaders are drawn by hash, before the shuffle where they can be."""
+def _leader_pairs(members: DataFrame, similarity: float, seeds: list[int]) -> DataFrame:
+    """Each text of a bucket with those leaders of the bucket that it may be linked to and is not classed with yet.
+
+    A leader for each seed is drawn by hash, with partial aggregation before the shuffle.
+    """
     me = F.struct(F.col("uid").alias("uid"), F.col("n").alias("n"), F.col("root").alias("root"))
-    order = F.xxhash64("uid", "key", F.lit(seed))
-    picked = members.groupBy("key").agg(F.min_by(me, order).alias("l0"), F.max_by(me, order).alias("l1"))
-    rows = members.join(picked, "key").select(
-        "uid", "n", "root", F.explode(F.array(*(F.col(f"l{i}") for i in range(leaders)))).alias("l")
-    )
-    fit = F.least("n", "l.n") >= similarity * F.greatest("n", "l.n")
-    return rows.filter((F.col("uid") != F.col("l.uid")) & (F.col("root") != F.col("l.root")) & fit).select(
-        F.least("uid", "l.uid").alias("a"), F.greatest("uid", "l.uid").alias("b")
+    leaders = members.groupBy("key").agg(*(F.min_by(me, F.xxhash64("uid", "key", F.lit(s))).alias(f"l{s}") for s in seeds))
+    fits = F.filter(
+        F.array_distinct(F.array(*(F.col(f"l{s}") for s in seeds))),
+        lambda x: (x["uid"] != F.col("uid")) & (x["root"] != F.col("root")) & (F.least("n", x["n"]) >= similarity * F.greatest("n", x["n"])),
     )
+    rows = members.join(leaders, "key").select("uid", F.explode(fits).alias("l"))
+    return rows.select(F.least("uid", "l.uid").alias("a"), F.greatest("uid", "l.uid").alias("b"))
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -122,7 +123,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY,
-    bands: int = BANDS, band_rows: int = BAND_ROWS, rounds: int = ROUNDS,
+    bands: int = BANDS, band_rows: int = BAND_ROWS, leaders: int = LEADERS,
 ) -> DataFrame:
     """One row per input row: id, class_id (the smallest id of its class), class_size, kept (one of each class), text_hash.
 
@@ -157,22 +158,19 @@ def near_groups(
     pairs = (
         _small_pairs(small.select("uid", "n", "key"), small.select("key", "c").distinct(), similarity)
         .unionByName(_small_pairs(twice, twice_counts, similarity))
-        .unionByName(_leader_pairs(keyed.select("uid", "n", "key", alone), similarity, 0))
+        .unionByName(_leader_pairs(keyed.select("uid", "n", "key", alone), similarity, [1, 2]))
         .distinct()
     )
     sets = every.select("uid", "shingles")
     links = keep(_checked(keep(pairs, "pairs"), sets, similarity), "links")
     roots = keep(components(links), "roots")
-    for turn in range(1, rounds + 1):
-        # Large buckets with texts of several classes: new leaders meet the texts of other classes.
-        placed = keyed.join(roots, keyed["uid"] == roots["node"], "left").select("uid", "n", "key", F.coalesce("root", "uid").alias("root"))
-        split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-        more = _leader_pairs(placed.join(split, "key"), similarity, turn).distinct()
-        found = keep(_checked(more, sets, similarity), f"links-{turn}")
-        if found.isEmpty():
-            continue
+    # Large buckets with texts of several classes: further leaders meet the texts of other classes.
+    placed = keyed.join(roots, keyed["uid"] == roots["node"], "left").select("uid", "n", "key", F.coalesce("root", "uid").alias("root"))
+    more = _leader_pairs(placed, similarity, list(range(3, 3 + leaders))).distinct()
+    found = keep(_checked(more, sets, similarity), "links-more")
+    if not found.isEmpty():
         merged = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
-        roots = keep(components(merged), f"roots-{turn}")
+        roots = keep(components(merged), "roots-more")
 
     placed = every.select("uid", "id", "text_hash", "set_hash").join(same, "set_hash")
     placed = placed.join(roots, placed["rep"] == roots["node"], "left").withColumn("class", F.coalesce("root", "rep"))
