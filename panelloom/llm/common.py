@@ -63,6 +63,7 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Rows per Arrow batch, so that long texts in a row do not make a batch large."""
+    """Rows and bytes per Arrow batch, so that long texts in a row do not make a batch large. Holds for the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -15,7 +15,7 @@ def word_count(text_col: str):
     return F.regexp_count(text_of(text_col), F.lit(WORD_PATTERN)).cast("long")
 
 
-def source_targets(sized: DataFrame, source_col: str, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+def source_targets(blocks: DataFrame, source_col: str, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
     """source, source_size, target: one row per source.
 
     Sources in code point order (null last) take the weights in turn. Targets are in proportion to the weights, and
@@ -28,7 +28,7 @@ def source_targets(sized: DataFrame, source_col: str, weights: tuple[int, ...],
     every = Window.partitionBy()
     turn = (F.row_number().over(at) - 1) % len(weights)
     weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (turn + 1).cast("int")).cast("double")
-    sources = sized.groupBy(source_col).agg(F.sum(f"{P}size").alias("source_size")).withColumn(f"{P}weight", weight)
+    sources = blocks.groupBy(source_col).agg(F.sum(f"{P}words").cast("long").alias("source_size")).withColumn(f"{P}weight", weight)
     sources = sources.withColumn(f"{P}cap", most * F.col("source_size")).withColumn(
         f"{P}ratio", F.col(f"{P}cap") / F.col(f"{P}weight")
     )
@@ -76,13 +76,13 @@ def mix(
     numbered = spread.withColumn(f"{P}nth", F.row_number().over(in_block))
 
     # Bounded: a source has at most (ranges * SALTS) blocks, however many rows.
-    counts = spread.groupBy(*block).count()
+    counts = spread.groupBy(*block).agg(F.count(F.lit(1)).alias("count"), F.sum(f"{P}size").alias(f"{P}words"))
     ahead = Window.partitionBy(source_col).orderBy(f"{P}range", f"{P}salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
         F.col(source_col).alias(f"{P}s"), F.col(f"{P}range").alias(f"{P}r"), F.col(f"{P}salt").alias(f"{P}t"),
         F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias(f"{P}start"),
     )
-    targets = source_targets(sized.select(source_col, f"{P}size"), source_col, weights, share, most)
+    targets = source_targets(counts.select(source_col, f"{P}words"), source_col, weights, share, most)
     starts = starts.join(targets, F.col(f"{P}s").eqNullSafe(F.col(f"{P}source")))
     placed = numbered.join(
         starts,
