@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Distinct words that a process remembers before it starts anew.
-MOST_WORDS = 300_000
+#: Distinct words that a process remembers; when they are too many, only the first, among which frequent words are, stay.
+MOST_WORDS, FIRST_WORDS = 500_000, 250_000
 #: A space beside other white space, or at the end, may belong to a longer run.
 IRREGULAR = re.compile(r" \s|\s | \Z")
 #: Marks a word that no space precedes.
@@ -65,6 +66,12 @@ class Encoder:
         self.starts = np.empty(0, np.int64)
         self.lens = np.empty(0, np.int64)
 
+    def _forget(self):
+        stay = _Slots()
+        stay.update(itertools.islice(self.slots.items(), FIRST_WORDS))
+        self.slots, self.used = stay, int(self.starts[FIRST_WORDS])
+        self.starts, self.lens = self.starts[:FIRST_WORDS], self.lens[:FIRST_WORDS]
+
     def _learn(self):
         """Ids of new words: many in one text, cut where a token begins with a space, as only the first of a word does."""
         new = self.slots.new
@@ -100,7 +107,7 @@ class Encoder:
         """Ids of each text without special tokens, as unsigned 32-bit integers; null counts as empty."""
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
         if len(self.slots) > MOST_WORDS:
-            self._clear()
+            self._forget()
         at, counts, words = [], [], []
         for i, text in enumerate(texts):
             if not text:
