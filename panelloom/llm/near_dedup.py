@@ -23,6 +23,8 @@ SMALL = 24
 LEADERS = 8
 #: Shingles for which signatures are thrown at once.
 AT_ONCE = 100_000
+#: Texts and shingles of a block in the full comparison of large buckets, about.
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1_000_000
 
 
 class _Words(dict):
@@ -121,6 +123,107 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def linked_roots(a: tuple, b: tuple, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of classes that links between two blocks join, each block as (roots, sizes, all shingles); no pair closes a ring.
+
+    The shared shingles of all pairs are counted: frequent shingles by a product of matrices, others one by one.
+    """
+    (roots_a, sizes_a, _), (roots_b, sizes_b, _) = a, b
+    rows, cols = len(sizes_a), len(sizes_b)
+    both = np.intersect1d(a[2], b[2])
+    if not len(both) or (roots_a == roots_a[0]).all() and (roots_b == roots_a[0]).all():
+        return []
+
+    def held(sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        here = both[at] == flat
+        at, owner = at[here], np.repeat(np.arange(len(sizes)), sizes)[here]
+        order = np.argsort(at, kind="stable")
+        return at[order], owner[order]
+
+    (at_a, own_a), (at_b, own_b) = held(sizes_a, a[2]), held(sizes_b, b[2])
+    times = np.bincount(at_b, minlength=len(both))
+    begin = np.cumsum(times) - times
+    frequent = np.bincount(at_a, minlength=len(both)) * times * 100 > rows * cols
+    shared = np.zeros(rows * cols)
+
+    rare = np.flatnonzero(~frequent[at_a])
+    n = times[at_a[rare]]
+    for part in np.split(np.arange(len(rare)), np.flatnonzero(np.diff(np.cumsum(n) >> 22)) + 1):
+        own, m = rare[part], n[part]
+        nth = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        shared += np.bincount(np.repeat(own_a[own], m) * cols + own_b[np.repeat(begin[at_a[own]], m) + nth], minlength=rows * cols)
+
+    shared = shared.reshape(rows, cols)
+    place = np.cumsum(frequent) - 1
+    of_a, of_b = frequent[at_a], frequent[at_b]
+    place_a, own_a, place_b, own_b = place[at_a[of_a]], own_a[of_a], place[at_b[of_b]], own_b[of_b]
+    for low in range(0, int(frequent.sum()), 2048):
+        left, right = np.zeros((rows, 2048), np.float32), np.zeros((cols, 2048), np.float32)
+        for matrix, own_place, own in ((left, place_a, own_a), (right, place_b, own_b)):
+            part = slice(*np.searchsorted(own_place, [low, low + 2048]))
+            matrix[own[part], own_place[part] - low] = 1
+        shared += left @ right.T
+    links = (shared >= similarity * (sizes_a[:, None] + sizes_b[None, :] - shared)) & (roots_a[:, None] != roots_b[None, :])
+    i, j = np.nonzero(links)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for x, y in np.unique(np.stack([roots_a[i], roots_b[j]], axis=1), axis=0).tolist():
+        if (u := root(x)) != (v := root(y)):
+            parent[u] = v
+            out.append((x, y))
+    return out
+
+
+def _block_links(blocks: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between classes from the full comparison of all blocks of a bucket whose sizes allow the similarity."""
+    names = ["level", "closed", "block"]
+    ids = blocks.select("key", *names)
+    left = ids.select("key", *(F.col(c).alias(f"{c}_a") for c in names))
+    right = ids.select("key", *(F.col(c).alias(f"{c}_b") for c in names))
+    # Texts of the largest class of a bucket need not meet each other.
+    once = "level_b = level_a and (closed_b and not closed_a or not closed_b and not closed_a and block_b >= block_a)"
+    pairs = left.join(right, "key").filter(f"{once} or level_b = level_a + 1 and not (closed_a and closed_b)")
+    for side in "ab":
+        pairs = pairs.join(blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in [*names, "roots", "sizes", "flat"])), ["key", *(f"{c}_{side}" for c in names)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = set()
+            for row in batch.itertuples(index=False):
+                found.update(linked_roots((row.roots_a, row.sizes_a, row.flat_a), (row.roots_b, row.sizes_b, row.flat_b), similarity))
+            yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype=np.int64)
+
+    return pairs.select(*(f"{c}_{side}" for side in "ab" for c in ("roots", "sizes", "flat"))).mapInPandas(run, "a long, b long")
+
+
+def _blocks(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Texts (uid, n, key, root) of buckets with several classes, dealt by hash to blocks of one level of sizes.
+
+    Texts that may be linked are of the same level or of two adjacent ones. Texts of a bucket's largest class are in blocks of
+    their own, marked closed.
+    """
+    by_class = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = by_class.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.04 / similarity)))
+    dealt = placed.join(largest, "key").select("uid", "n", "key", "root", level.alias("level"), (F.col("root") == F.col("top.root")).alias("closed"))
+    size = F.greatest(F.count(F.lit(1)) / F.lit(BLOCK_TEXTS), F.sum("n") / F.lit(BLOCK_SHINGLES))
+    parts = dealt.groupBy("key", "level", "closed").agg(F.ceil(size).alias("parts"))
+    dealt = dealt.join(parts, ["key", "level", "closed"]).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(77)), "parts"))
+    full = dealt.join(sets, "uid").groupBy("key", "level", "closed", "block").agg(F.collect_list(F.struct("root", "shingles")).alias("m"))
+    return full.select(
+        "key", "level", "closed", "block", F.col("m.root").alias("roots"),
+        F.transform("m", lambda x: F.size(x["shingles"])).alias("sizes"), F.flatten("m.shingles").alias("flat"),
+    )
+
+
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY,
     bands: int = BANDS, band_rows: int = BAND_ROWS, leaders: int = LEADERS,
@@ -171,6 +274,13 @@ def near_groups(
     if not found.isEmpty():
         merged = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
         roots = keep(components(merged), "roots-more")
+    # Whatever classes are left in a large bucket are compared in full.
+    placed = keyed.join(roots, keyed["uid"] == roots["node"], "left").select("uid", "n", "key", F.coalesce("root", "uid").alias("root"))
+    blocks = keep(_blocks(placed, sets, similarity), "blocks")
+    found = keep(_block_links(blocks, similarity).distinct(), "links-rest")
+    if not found.isEmpty():
+        merged = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
+        roots = keep(components(merged), "roots-rest")
 
     placed = every.select("uid", "id", "text_hash", "set_hash").join(same, "set_hash")
     placed = placed.join(roots, placed["rep"] == roots["node"], "left").withColumn("class", F.coalesce("root", "rep"))

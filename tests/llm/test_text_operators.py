@@ -236,6 +236,58 @@ def test_near_groups(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_classes(texts)))
 
 
+def from_template(rng, template, n):
+    """The template with n of its words changed."""
+    own = list(template)
+    for i in rng.sample(range(len(own)), n):
+        own[i] = f"w{rng.getrandbits(60)}"
+    return own
+
+
+def test_near_groups_links_pairs_among_texts_of_one_template(spark):
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(400)]
+    texts = []
+    for _ in range(110):
+        one = from_template(rng, template, 6)
+        texts += [one, from_template(rng, one, 8)]
+    texts = [" ".join(t) for t in texts]
+    expected = brute_classes(texts)
+    assert 60 < len(set(expected)) < 160
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    # Few bands of two coordinates: every bucket is large, and few of its texts meet a leader.
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_groups(docs, bands=8, band_rows=2, leaders=1).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+
+
+def test_linked_roots_count_shared_shingles_of_all_pairs():
+    rng = np.random.default_rng(1)
+    base = rng.integers(-(2**31), 2**31, 5000)
+
+    def block(first):
+        sets = []
+        for i in range(40):
+            low = rng.integers(0, 4000) if i % 3 else 100
+            sets.append(np.unique(np.concatenate([base[low : low + rng.integers(20, 900)], rng.integers(-(2**31), 2**31, 5)])).astype(np.int32))
+        return sets, (np.arange(40) + first, np.array([len(s) for s in sets]), np.concatenate(sets))
+
+    (sets_a, a), (sets_b, b) = block(0), block(100)
+    got = near_dedup.linked_roots(a, b, 0.6)
+    linked = [(i, 100 + j) for i, x in enumerate(sets_a) for j, y in enumerate(sets_b) if len(np.intersect1d(x, y)) >= 0.6 * len(np.union1d(x, y))]
+    assert linked and set(got) <= set(linked)
+
+    def groups(edges):
+        near = {n: {n} for e in linked for n in e}
+        for x, y in edges:
+            if near[x] is not near[y]:
+                near[x] |= near[y]
+                for n in near[x]:
+                    near[n] = near[x]
+        return near
+
+    assert groups(got) == groups(linked)
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     elements = mix(np.arange(1, 7, dtype=np.uint64))
     a, b = np.array([1.5, 3.0, 0.2, 5.0, 1.0, 2.5]), np.array([2.5, 1.0, 0.2, 4.0, 1.0, 0.5])
