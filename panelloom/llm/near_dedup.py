@@ -251,16 +251,10 @@ def near_groups(
     members = keep(members.join(counts, "key"), "members")
     small, large = members.filter(F.col("c") <= SMALL), members.filter(F.col("c") > SMALL)
 
-    # A large bucket: texts that share a second band besides, in pairs where few do; and leaders.
     keyed = large.select("uid", "n", "key")
-    twice = keyed.groupBy("uid", "n").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    twice = twice.select("uid", "n", F.explode(F.transform(F.sequence(F.lit(0), F.size("keys") - 1), lambda i: F.xxhash64(
-        F.element_at("keys", i + 1), F.element_at("keys", (i + 1) % F.size("keys") + 1)))).alias("key"))
-    twice_counts = twice.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     alone = F.col("uid").alias("root")
     pairs = (
         _small_pairs(small.select("uid", "n", "key"), small.select("key", "c").distinct(), similarity)
-        .unionByName(_small_pairs(twice, twice_counts, similarity))
         .unionByName(_leader_pairs(keyed.select("uid", "n", "key", alone), similarity, [1, 2]))
         .distinct()
     )
