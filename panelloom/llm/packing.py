@@ -14,11 +14,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import small_batches
-from .encode import encoder
+from .common import P
+from .encode import encoder, slices
 
 
 @dataclass
@@ -33,7 +34,7 @@ class Limits:
 
 @dataclass
 class _Piece:
-    key: tuple
+    key: object
     ids: np.ndarray
     loss_from: int
     start: int
@@ -52,7 +53,7 @@ class Packer:
     cut_tail: bool = True
     pool: list[_Piece] = field(default_factory=list)
 
-    def add(self, key: tuple, ids: np.ndarray, loss_from: int = 0) -> Iterator[list[_Piece]]:
+    def add(self, key, ids: np.ndarray, loss_from: int = 0) -> Iterator[list[_Piece]]:
         if not len(ids):
             return
         piece = _Piece(key, ids, loss_from, 0, len(ids))
@@ -138,19 +139,19 @@ def pack(
     gives no pieces.
     """
     limits = limits or Limits()
-    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    columns = [id_col, text_col, *([prompt_tokens_col] if prompt_tokens_col else [])]
-    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
-    schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    schema += ", ids array<int>" if with_ids else ""
+    prompts = F.col(prompt_tokens_col) if prompt_tokens_col else F.lit(0)
+    rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(f"{P}t"), F.coalesce(prompts.cast("long"), F.lit(0)).alias(f"{P}p"))
+    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    schema = ", ".join([f"`{id_col}` {kind}", *(f"{n} long" for n in names), *(["ids array<int>"] if with_ids else [])])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer_path).encode_batch
-        packer, rows = Packer(limits), []
+        encode = encoder(tokenizer_path).encode_flat
+        packer, keys, values, out_ids = Packer(limits), [], [], []
         number = TaskContext.get().partitionId() << 32
+        key_type = None
 
         def take(sequences):
             nonlocal number
@@ -158,30 +159,36 @@ def pack(
                 offset = 0
                 for p in pieces:
                     ids = p.ids[p.start : p.end]
-                    row = (*p.key, p.start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(p.ids), number, offset)
-                    rows.append((*row, ids.astype(np.int32)) if with_ids else row)
+                    keys.append(p.key)
+                    values.append((p.start, len(ids), zlib.crc32(ids.astype("<u4", copy=False)), len(p.ids), number, offset))
+                    if with_ids:
+                        out_ids.append(ids.astype(np.int32))
                     offset += len(ids)
                 number += 1
 
         def flush():
-            out = pd.DataFrame(rows, columns=names)
-            if kind in ("bigint", "int", "smallint", "tinyint"):
-                out[id_col] = out[id_col].astype("Int64")
-            rows.clear()
+            columns = np.array(values, np.int64).reshape(-1, len(names)).T
+            arrays = [pa.array(keys, key_type), *(pa.array(np.ascontiguousarray(c)) for c in columns)]
+            if with_ids:
+                arrays.append(pa.array(out_ids, pa.list_(pa.int32())))
+            out = pa.RecordBatch.from_arrays(arrays, names=[id_col, *names, *(["ids"] if with_ids else [])])
+            for held in (keys, values, out_ids):
+                held.clear()
             return out
 
         for batch in batches:
-            prompts = batch[prompt_tokens_col].fillna(0) if prompt_tokens_col else [0] * len(batch)
-            keys = batch[id_col].astype(object).where(batch[id_col].notna(), None)
-            encoded = encode([t if isinstance(t, str) else None for t in batch[text_col]])
-            for key, ids, prompt in zip(keys, encoded, prompts, strict=True):
-                key = int(key) if isinstance(key, float) else key
-                take(packer.add((key,), np.append(ids, np.uint32(end_id)), int(prompt)))
-            if len(rows) >= 4096:
+            key_type, low = batch.schema.field(0).type, 0
+            for texts in slices(batch.column(1)):
+                own_keys, own_prompts = (batch.column(c).slice(low, len(texts)).to_pylist() for c in (0, 2))
+                low += len(texts)
+                flat, ends = encode(texts)
+                flat = np.insert(flat, ends[1:], np.uint32(end_id))
+                # A document that waits holds a copy of its own ids, not those of its whole slice.
+                for i, (key, prompt) in enumerate(zip(own_keys, own_prompts, strict=True)):
+                    take(packer.add(key, flat[ends[i] + i : ends[i + 1] + i + 1].copy(), int(prompt)))
                 yield flush()
         take(packer.close())
-        yield flush()
-
-    return docs.select(*columns).mapInPandas(run, schema)
-
+        if keys:
+            yield flush()
 
+    return rows.mapInArrow(run, schema)
