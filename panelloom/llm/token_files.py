@@ -3,7 +3,8 @@
 A shard is   MAGIC, frames..., index, footer.   The index is a zstandard frame of rows (id, ids before this document in
 the shard, number of ids, offset of its frame); the footer holds the index's offset and length, the number of
 documents and of ids, and the SHA-256 of the dictionary. A document is read by seeking to its frame alone.
-Ids are little-endian unsigned 32-bit integers before compression.
+Ids are little-endian unsigned 32-bit integers before compression. Beside the shards lie dictionary (its bytes) and manifest (the
+shards in order, with the number of ids before each), both Parquet, so a folder can be read without anything else.
 """
 
 from __future__ import annotations
@@ -16,23 +17,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, shuffle_partitions, small_batches, text_of
-from .encode import encoder
+from .common import P, shared_path, shuffle_partitions, text_of
+from .encode import encoder, slices
 
 MAGIC = b"PLTOK001"
 FOOTER = struct.Struct("<QQQQ32s8s")
 INDEX = np.dtype([("has_id", "u1"), ("id", "<i8"), ("before", "<u8"), ("n", "<u8"), ("at", "<u8")])
-#: The dictionary is trained on about this many documents, chosen by a hash of their text; all are encoded.
-SAMPLE_DOCUMENTS = 2000
+#: The dictionary is trained on at most this many documents of at most so many bytes, chosen by a hash of their text, as it serves short documents.
+SAMPLE_DOCUMENTS, SAMPLE_BYTES = 2000, 16 << 10
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+#: A shard is closed when it has so many bytes or documents; a reader holds the index of one shard and some of its frames.
+SHARD_BYTES, SHARD_DOCUMENTS, READ_BYTES = 128 << 20, 1 << 20, 8 << 20
 
-SHARDS = "path string, n_documents long, n_tokens long"
+SHARDS = "path string, part long, nth long, n_documents long, n_tokens long"
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -40,11 +44,11 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, text_col: str, end_id: int, documents: int = SAMPLE_DOCUMENTS) -> bytes:
-    """A zstandard dictionary of serialized ids; empty where the sample is too small to train one."""
+    """A zstandard dictionary of serialized ids, the same at each run; empty where the sample is too small to train one."""
     every = max(1, docs.count() // max(1, documents))
-    key = F.pmod(F.xxhash64(text_of(text_col)), F.lit(every))
-    # Of each sampled text its first 16 kB serve as training text: a dictionary holds short strings only.
-    rows = docs.filter(key == 0).select(F.substring(text_of(text_col), 1, 1 << 14)).limit(2 * documents).collect()
+    drawn = docs.select(text_of(text_col).alias("t")).withColumn("h", F.xxhash64("t")).filter(F.pmod("h", F.lit(every)) == 0)
+    # The share drawn of a table is about `documents` rows, so the order is over few rows; copies of one text count once.
+    rows = drawn.filter(F.octet_length("t") <= SAMPLE_BYTES).dropDuplicates(["h"]).orderBy("h", "t").limit(documents).select("t").collect()
     encoded = encoder(tokenizer_path).encode_batch([r[0] for r in rows])
     samples = [np.append(ids, end_id).astype("<u4").tobytes() for ids in encoded]
     try:
@@ -91,83 +95,123 @@ class ShardReader:
         self.expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None).decompress
 
     def ids(self, row: int) -> np.ndarray:
-        at = int(self.index["at"][row])
-        return np.frombuffer(self.expand(self.file.read_at(int(self.ends[row]) - at, at)), "<u4")
+        """Of one document, by a read of its frame alone."""
+        return self.run(row, row + 1)[0]
+
+    def run(self, low: int, high: int) -> list[np.ndarray]:
+        """Of documents that follow each other, by one read."""
+        first, ends = int(self.index["at"][low]), self.ends[low:high]
+        raw = memoryview(self.file.read_at(int(ends[-1]) - first, first))
+        return [np.frombuffer(self.expand(raw[a - first : b - first]), "<u4") for a, b in zip(self.index["at"][low:high].tolist(), ends.tolist(), strict=True)]
 
 
 def write(
     docs: DataFrame, tokenizer_path: str, root: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
-    dictionary: bytes | None = None, partitions: int | None = None,
-) -> tuple[pd.DataFrame, bytes]:
-    """Writes all documents in ascending order of id below root; returns the shards in order, and the dictionary.
+    dictionary: bytes | None = None, partitions: int | None = None, shard_bytes: int = SHARD_BYTES,
+) -> None:
+    """Writes all documents in ascending order of id below root: shards, dictionary and manifest.
 
     Null ids come first, null texts are empty documents, repeated rows are each written; rows of one id are ordered by
-    text. A task writes its shard under a name of its own attempt, and only shards that finished tasks report are
-    listed in root's manifest, so lost executors leave nothing that is read. The list grows with the shards only.
+    the first bytes and a hash of their text, and may be spread over several tasks. A task writes shards under names of its own
+    attempt, and the manifest lists only what finished tasks report, so lost executors leave nothing that is read.
+    An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     dictionary = train_dictionary(docs, tokenizer_path, text_col, end_id) if dictionary is None else dictionary
     n = partitions or shuffle_partitions(spark)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, writer = encoder(tokenizer_path).encode_batch, None
-        fs, own = _open(f"{root}/shard-{TaskContext.get().partitionId():07d}-{uuid.uuid4().hex}.tok")
-        for batch in batches:
-            if not len(batch):
-                continue
-            if writer is None:
-                fs.create_dir(own.rpartition("/")[0], recursive=True)
-                out = fs.open_output_stream(own)
-                writer = ShardWriter(out, dictionary)
-            for key, ids in zip(batch["k"], encode(list(batch["t"])), strict=True):
-                writer.add(None if pd.isna(key) else int(key), np.append(ids, np.uint32(end_id)))
-        if writer is not None:
+        encode, part, nth = encoder(tokenizer_path).encode_flat, TaskContext.get().partitionId(), 0
+        fs, folder = _open(root)
+        own, writer, out, done = "", None, None, []
+
+        def close():
+            nonlocal writer
             writer.close()
             out.close()
-            name = own.rpartition("/")[2]
-            yield pd.DataFrame([(f"{root}/{name}", len(writer.rows), writer.tokens)], columns=["path", "n_documents", "n_tokens"])
+            done.append((f"{root}/{own}", part, nth, len(writer.rows), writer.tokens))
+            writer = None
+
+        for batch in batches:
+            low = 0
+            for texts in slices(batch.column(1)):
+                keys = batch.column(0).slice(low, len(texts)).to_pylist()
+                low += len(texts)
+                flat, ends = encode(texts)
+                flat = np.insert(flat, ends[1:], np.uint32(end_id))
+                for i, key in enumerate(keys):
+                    if writer is None:
+                        fs.create_dir(folder, recursive=True)
+                        own = f"shard-{part:07d}-{nth:05d}-{uuid.uuid4().hex}.tok"
+                        out = fs.open_output_stream(f"{folder}/{own}")
+                        writer = ShardWriter(out, dictionary)
+                    writer.add(key, flat[ends[i] + i : ends[i + 1] + i + 1])
+                    if writer.at >= shard_bytes or len(writer.rows) >= SHARD_DOCUMENTS:
+                        close()
+                        nth += 1
+        if writer is not None:
+            close()
+        columns = list(zip(*done, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["path", "part", "nth", "n_documents", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), text_of(text_col).alias("t"))
-    ordered = rows.repartitionByRange(n, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
-    shards = pd.DataFrame([tuple(r) for r in ordered.mapInPandas(run, SHARDS).collect()], columns=["path", "n_documents", "n_tokens"])
-    shards = shards.sort_values("path").reset_index(drop=True)
-    shards["start"] = shards.n_tokens.cumsum() - shards.n_tokens
-    return shards, dictionary
+    # Beyond the id, keys that let rows of one id, null among them, and copies of one text be dealt to several tasks.
+    keys = [F.col("k").asc_nulls_first(), *(F.col(f"{P}{c}").asc() for c in ("head", "hash", "nth"))]
+    rows = rows.withColumn(f"{P}head", F.substring("t", 1, 16)).withColumn(f"{P}hash", F.xxhash64("t")).withColumn(f"{P}nth", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("k", "t")
+    # One row per shard of SHARD_BYTES comes to the driver.
+    shards = sorted(tuple(r) for r in ordered.mapInArrow(run, SHARDS).select("part", "nth", "path", "n_documents", "n_tokens").collect())
+    starts = np.cumsum([0, *(s[4] for s in shards)]).tolist()
+    listed = [(i, s[2], s[3], s[4], starts[i]) for i, s in enumerate(shards)]
+    spark.createDataFrame([(dictionary, hashlib.sha256(dictionary).hexdigest())], "bytes binary, sha256 string").coalesce(1).write.mode("overwrite").parquet(f"{root}/dictionary")
+    spark.createDataFrame(listed, "number long, path string, n_documents long, n_tokens long, start long").coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest")
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """number, path, n_documents, n_tokens, start (ids of all documents before): one row per shard."""
+    return spark.read.parquet(f"{root}/manifest")
 
 
-def read(spark: SparkSession, shards: pd.DataFrame, dictionary: bytes, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """One row per document, from the files: id, start, n_tokens, ids_crc32 (and ids)."""
+def dictionary_of(spark: SparkSession, root: str) -> bytes:
+    return bytes(spark.read.parquet(f"{root}/dictionary").first()["bytes"])
+
+
+def read(spark: SparkSession, root: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """One row per document of a folder that write has made: id, start, n_tokens, ids_crc32 (and ids); a task for each shard."""
+    dictionary, listed = dictionary_of(spark, root), manifest(spark, root)
     schema = f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, start in zip(batch["path"], batch["start"], strict=True):
                 shard = ShardReader(path, dictionary)
-                for low in range(0, len(shard.index), 1024):
-                    part = shard.index[low : low + 1024]
-                    ids = [shard.ids(row) for row in range(low, low + len(part))]
+                low = 0
+                while low < len(shard.index):
+                    high = max(low + 1, int(np.searchsorted(shard.ends, int(shard.index["at"][low]) + READ_BYTES, side="right")))
+                    part = shard.index[low:high]
+                    ids = shard.run(low, high)
                     out = pd.DataFrame({
-                        id_col: pd.array(np.where(part["has_id"] == 1, part["id"], 0), "Int64"),
+                        id_col: pd.array(part["id"], "Int64"),
                         "start": start + part["before"].astype(np.int64),
-                        "n_tokens": part["n"].astype(np.int64),
-                        "ids_crc32": [zlib.crc32(i.tobytes()) for i in ids],
+                        "n_tokens": [len(i) for i in ids],
+                        "ids_crc32": [zlib.crc32(i) for i in ids],
                     })
                     out.loc[part["has_id"] == 0, id_col] = pd.NA
                     if with_ids:
                         out["ids"] = [i.astype(np.int32) for i in ids]
                     yield out
+                    low = high
 
-    listed = spark.createDataFrame(list(shards[["path", "start"]].itertuples(index=False, name=None)), "path string, start long")
-    return listed.repartition(max(1, len(shards)), "path").mapInPandas(run, schema)
+    n = max(1, listed.count())
+    return listed.select("path", "start", "number").repartitionByRange(n, "number").mapInPandas(run, schema)
 
 
 def encode_and_read(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
-    spark = docs.sparkSession
-    shards, dictionary = write(docs, tokenizer_path, shared_path(spark, "tokens"), id_col, text_col, end_id)
-    return read(spark, shards, dictionary, id_col)
+    root = shared_path(docs.sparkSession, "tokens")
+    write(docs, tokenizer_path, root, id_col, text_col, end_id)
+    return read(docs.sparkSession, root, id_col)
 
 
-__all__ = ["ShardReader", "ShardWriter", "encode_and_read", "read", "train_dictionary", "write"]
+__all__ = ["ShardReader", "ShardWriter", "dictionary_of", "encode_and_read", "manifest", "read", "train_dictionary", "write"]

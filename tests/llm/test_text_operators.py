@@ -156,16 +156,18 @@ def test_loss_tokens_bind_apart_from_tokens():
     packer = packing.Packer(packing.Limits(100, 8, 30), waiting=4, cut_tail=False)
     out = []
     for i in range(20):
-        out += list(packer.add((i,), np.arange(40), 25))
+        out += list(packer.add(i, np.arange(40), 25))
     out += list(packer.close())
     for pieces in out:
         assert sum(p.end - p.start for p in pieces) <= 100 and sum(p.loss() for p in pieces) <= 30 and len(pieces) <= 8
     assert sum(p.end - p.start for pieces in out for p in pieces) == 800
 
 
-def test_token_files(spark, odd, tmp_path):
-    shards, dictionary = token_files.write(frame(spark, odd), PATH, f"file://{tmp_path}", partitions=5)
-    rows = token_files.read(spark, shards, dictionary, with_ids=True).collect()
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 400])
+def test_token_files(spark, odd, tmp_path, shard_bytes):
+    root = f"file://{tmp_path}"
+    token_files.write(frame(spark, odd), PATH, root, partitions=5, shard_bytes=shard_bytes)
+    rows = token_files.read(spark, root, with_ids=True).collect()
     tokenizer = Tokenizer.from_file(PATH)
     order = sorted(odd, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     start = 0
@@ -174,12 +176,31 @@ def test_token_files(spark, odd, tmp_path):
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids"]) == (i, start, len(ids), ids)
         assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
+    shards, dictionary = token_files.manifest(spark, root).orderBy("number").collect(), token_files.dictionary_of(spark, root)
+    assert len(dictionary) > 0 and (len(shards) > 20) == (shard_bytes == 400)
     with pytest.raises(ValueError):
-        token_files.ShardReader(shards.path[0], dictionary + b"x")
-    reader = token_files.ShardReader(shards.path[0], dictionary)
+        token_files.ShardReader(shards[0]["path"], dictionary + b"x")
+    reader = token_files.ShardReader(shards[0]["path"], dictionary)
     assert reader.ids(reader.n_documents - 1)[-1] == 2
 
 
+def test_encoder_forgets_and_stays_right(monkeypatch):
+    from panelloom.llm import encode
+
+    monkeypatch.setattr(encode, "MOST_WORDS", 300)
+    monkeypatch.setattr(encode, "WORDS_STAY", 100)
+    tokenizer, own = Tokenizer.from_file(PATH), Encoder(PATH)
+    rng = random.Random(8)
+    for _ in range(12):
+        texts = [words(rng, 60) + rng.choice(["", ".", "\nNext line, it's", "  two"]) for _ in range(8)]
+        assert [i.tolist() for i in own.encode_batch(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert len(own.slots) < 1200
+    monkeypatch.setattr(encode, "MOST_IDS", 50)
+    texts = [words(rng, 200) for _ in range(5)]
+    for _ in range(3):
+        assert [i.tolist() for i in own.encode_batch(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_quality():
     rng = random.Random(1)
     vocabulary = words(rng, 300).split()
