@@ -56,9 +56,9 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
+def written(df: DataFrame, path: str, **options) -> DataFrame:
     """The rows of df, kept as Parquet in the shared folder: lineage ends here and a lost executor costs nothing."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from .common import remove, shared_path, written
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root (the smallest node of its component) for each node of edges(a, b).
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the smallest node of its component) for each node of edges(a, b); loops alone are no nodes.
 
     Rounds of large stars and small stars: each node tells its larger, then its smaller neighbours of the smallest
-    that it knows. The edge list never grows beyond its first length plus the nodes, and each round is written to
-    the shared folder, so no lineage builds up.
+    that it knows, until the edges are stars, whatever the number of rounds (it grows with the logarithm of the nodes). The
+    edge list never grows beyond its first length plus the nodes, and each round is written to the shared
+    folder, so no lineage builds up. An empty table gives an empty result.
     """
     spark = edges.sparkSession
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    path, mark = None, None
-    for _ in range(most_rounds):
+    path = None
+    while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -31,9 +32,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if path:
             remove(spark, path)
         path = there
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40))).first()
-        if tuple(seen) == mark:
+        # Stars: no node has two centres, and no centre has one.
+        seen = now.select(F.col("a").alias("node"), F.lit(1).alias("centres"), F.lit(0).alias("is_centre"))
+        seen = seen.unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("centres"), F.lit(1).alias("is_centre")))
+        seen = seen.groupBy("node").agg(F.sum("centres").alias("centres"), F.max("is_centre").alias("is_centre"))
+        if seen.filter("centres > 1 or centres = 1 and is_centre = 1").isEmpty():
             break
-        mark = tuple(seen)
     roots = now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

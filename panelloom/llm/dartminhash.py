@@ -68,6 +68,14 @@ def darts(elements: np.ndarray, cover: np.ndarray | None, sets: np.ndarray, upto
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def cells(elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each element as cells of one unit of its weight: whose each cell is, the cells' own hashes, and how far they are covered."""
+    n = np.ceil(weights).astype(np.int64)
+    at = np.repeat(np.arange(len(elements)), n)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    return at, mix(elements[at] + nth.astype(np.uint64) * salt(17)), np.minimum(1.0, weights[at] - nth)
+
+
 def signatures(elements: np.ndarray, sets: np.ndarray, n_sets: int, k: int, weights: np.ndarray | None = None) -> np.ndarray:
     """An (n_sets, k) matrix of dart identities. elements: 64-bit hashes; sets: whose they are, ascending, none empty.
 
@@ -77,11 +85,8 @@ def signatures(elements: np.ndarray, sets: np.ndarray, n_sets: int, k: int, weig
     total = np.bincount(sets, minlength=n_sets).astype(float)
     if weights is not None:
         total = np.bincount(sets, weights=weights, minlength=n_sets)
-        cells = np.ceil(weights).astype(np.int64)
-        at = np.repeat(np.arange(len(elements)), cells)
-        cell = np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells)
-        cover = np.minimum(1.0, weights[at] - cell)
-        elements, sets = mix(elements[at] + cell.astype(np.uint64) * salt(17)), sets[at]
+        at, elements, cover = cells(elements, weights)
+        sets = sets[at]
     out = np.zeros((n_sets, k), np.uint64)
     upto = np.where(total > 0, (k * math.log(k) + 2 * k) / np.maximum(total, 1e-12), 0.0)
     while len(elements):

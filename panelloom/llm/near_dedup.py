@@ -7,12 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, remove, shared_path, shared_root, small_batches, text_of, written
+from .common import P, remove, shared_path, shared_root, text_of, written
 from .components import components
-from .dartminhash import mix, salt, signatures
+from .dartminhash import cells, mix, salt, signatures
 
 WORDS, SIMILARITY = 5, 0.8
 #: 28 bands of 5 coordinates: two texts of similarity 0.8 share a band with probability 1 - 1.5e-5.
@@ -21,8 +21,12 @@ BANDS, BAND_ROWS = 28, 5
 SMALL = 24
 #: Further leaders of larger buckets that texts of other classes are checked with.
 LEADERS = 8
-#: Shingles for which signatures are thrown at once.
-AT_ONCE = 100_000
+#: Rows, and shingles for which signatures are thrown, at once.
+ROWS_AT_ONCE, AT_ONCE = 256, 100_000
+#: Bits of a shingle's hash that are compared in full: two of a text of 10,000 fall together with probability 2e-7.
+CELL_BITS = 48
+#: Rows of one bucket that go to one task in a join with what is known of the bucket.
+SALT_ROWS = 512
 #: Texts and shingles of a block in the full comparison of large buckets, about.
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1_000_000
 
@@ -35,54 +39,64 @@ class _Words(dict):
         return h
 
 
-def shingles(text: str | None, words: int = WORDS, known: dict | None = None) -> np.ndarray:
-    """Distinct 64-bit hashes of a text's runs of five words; a shorter text is one shingle, an empty one has none."""
+def shingles(text: str | None, words: int = WORDS, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit hashes of a text's runs of five words, and how often each occurs; a shorter text is one run, an empty one has none."""
     own = (text or "").encode("utf-8", "replace").split()
     if not own:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     h = np.fromiter(map((known if known is not None else _Words()).__getitem__, own), np.uint64, len(own))
     n = max(1, len(h) - words + 1)
     out = np.zeros(n, np.uint64)
     for i in range(min(words, len(h))):
         out = mix(out * np.uint64(0x100000001B3) + h[i : i + n])
-    return np.unique(out)
+    return np.unique(out, return_counts=True)
+
+
+def unit_cells(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A weighted set of shingles as a plain one: a number for each occurrence, so that plain similarity of these is the weighted one."""
+    return np.unique(cells(elements, counts)[1] >> np.uint64(64 - CELL_BITS)).view(np.int64)
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, band_rows: int) -> DataFrame:
-    """uid, id, text hash, hash of the shingle set, its size, 32-bit shingles and band keys, for every document."""
-    small_batches(docs.sparkSession)
+    """uid, id, text hash, hash of the weighted shingle set, its size, its cells and band keys, for every document."""
     kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, text_hash long, set_hash binary, n int, shingles array<int>, bands array<long>"
+    schema = f"id {kind}, text_hash long, set_hash binary, n int, shingles array<long>, bands array<long>"
+
+    def some_rows(batch: pd.DataFrame, known: _Words) -> pd.DataFrame:
+        prime = np.uint64(0x100000001B3)
+        own = [shingles(t, words, known) for t in batch["t"]]
+        keys = np.zeros((len(own), bands), np.uint64)
+        low = 0
+        while low < len(own):
+            high, n = low, 0
+            while high < len(own) and (high == low or n + len(own[high][0]) <= AT_ONCE):
+                n += len(own[high][0])
+                high += 1
+            some = [i for i in range(low, high) if len(own[i][0])]
+            if some:
+                sets = np.repeat(np.arange(len(some)), [len(own[i][0]) for i in some])
+                elements, weights = (np.concatenate([own[i][c] for i in some]) for c in (0, 1))
+                sig = signatures(elements, sets, len(some), bands * band_rows, weights.astype(float))
+                key = np.zeros((len(some), bands), np.uint64)
+                for r in range(band_rows):
+                    key = mix(key * prime + sig[:, r::band_rows])
+                keys[some] = key + np.array([salt(b + 1) for b in range(bands)])
+            low = high
+        flat = [unit_cells(*s) for s in own]
+        return pd.DataFrame({
+            "id": batch["id"],
+            "text_hash": batch["h"],
+            "set_hash": [xxhash.xxh128_digest(np.sort(cells(*s)[1]).tobytes()) for s in own],
+            "n": [len(s) for s in flat],
+            "shingles": flat,
+            "bands": [k.view(np.int64) if len(s) else np.empty(0, np.int64) for s, k in zip(flat, keys, strict=True)],
+        })
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Words()
-        prime = np.uint64(0x100000001B3)
         for batch in batches:
-            own = [shingles(t, words, known) for t in batch["t"]]
-            keys = np.zeros((len(own), bands), np.uint64)
-            low = 0
-            while low < len(own):
-                high, n = low, 0
-                while high < len(own) and (high == low or n + len(own[high]) <= AT_ONCE):
-                    n += len(own[high])
-                    high += 1
-                some = [i for i in range(low, high) if len(own[i])]
-                if some:
-                    sets = np.repeat(np.arange(len(some)), [len(own[i]) for i in some])
-                    sig = signatures(np.concatenate([own[i] for i in some]), sets, len(some), bands * band_rows)
-                    key = np.zeros((len(some), bands), np.uint64)
-                    for r in range(band_rows):
-                        key = mix(key * prime + sig[:, r::band_rows])
-                    keys[some] = key + np.array([salt(b + 1) for b in range(bands)])
-                low = high
-            yield pd.DataFrame({
-                "id": batch["id"],
-                "text_hash": batch["h"],
-                "set_hash": [xxhash.xxh128_digest(s.tobytes()) for s in own],
-                "n": [len(s) for s in own],
-                "shingles": [np.unique(s.astype(np.uint32)).view(np.int32) for s in own],
-                "bands": [k.view(np.int64) if len(s) else np.empty(0, np.int64) for s, k in zip(own, keys, strict=True)],
-            })
+            for low in range(0, len(batch), ROWS_AT_ONCE):
+                yield some_rows(batch.iloc[low : low + ROWS_AT_ONCE], known)
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
     return rows.mapInPandas(run, schema).withColumn("uid", F.monotonically_increasing_id())
@@ -99,18 +113,29 @@ def _small_pairs(members: DataFrame, counts: DataFrame, similarity: float) -> Da
     return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
+def _salts() -> Column:
+    return F.ceil(F.col("c") / F.lit(SALT_ROWS)).cast("int")
+
+
+def _with_bucket(members: DataFrame, of_key: DataFrame) -> DataFrame:
+    """Rows of buckets joined with one row per bucket (key, c, ...), the rows of a large bucket over several tasks."""
+    spread = members.withColumn("salt", F.pmod(F.xxhash64("uid"), _salts()).cast("int"))
+    copied = of_key.withColumn("salt", F.explode(F.sequence(F.lit(0), _salts() - 1))).drop("c")
+    return spread.join(copied, ["key", "salt"])
+
+
 def _leader_pairs(members: DataFrame, similarity: float, seeds: list[int]) -> DataFrame:
     """Each text of a bucket with those leaders of the bucket that it may be linked to and is not classed with yet.
 
     A leader for each seed is drawn by hash, with partial aggregation before the shuffle.
     """
     me = F.struct(F.col("uid").alias("uid"), F.col("n").alias("n"), F.col("root").alias("root"))
-    leaders = members.groupBy("key").agg(*(F.min_by(me, F.xxhash64("uid", "key", F.lit(s))).alias(f"l{s}") for s in seeds))
+    leaders = members.groupBy("key").agg(F.first("c").alias("c"), *(F.min_by(me, F.xxhash64("uid", "key", F.lit(s))).alias(f"l{s}") for s in seeds))
     fits = F.filter(
         F.array_distinct(F.array(*(F.col(f"l{s}") for s in seeds))),
         lambda x: (x["uid"] != F.col("uid")) & (x["root"] != F.col("root")) & (F.least("n", x["n"]) >= similarity * F.greatest("n", x["n"])),
     )
-    rows = members.join(leaders, "key").select("uid", F.explode(fits).alias("l"))
+    rows = _with_bucket(members, leaders).select("uid", F.explode(fits).alias("l"))
     return rows.select(F.least("uid", "l.uid").alias("a"), F.greatest("uid", "l.uid").alias("b"))
 
 
@@ -210,10 +235,10 @@ def _blocks(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     Texts that may be linked are of the same level or of two adjacent ones. Texts of a bucket's largest class are in blocks of
     their own, marked closed.
     """
-    by_class = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    largest = by_class.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    by_class = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("own"), F.first("c").alias("c"))
+    largest = by_class.groupBy("key").agg(F.first("c").alias("c"), F.max(F.struct("own", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.04 / similarity)))
-    dealt = placed.join(largest, "key").select("uid", "n", "key", "root", level.alias("level"), (F.col("root") == F.col("top.root")).alias("closed"))
+    dealt = _with_bucket(placed, largest).select("uid", "n", "key", "root", level.alias("level"), (F.col("root") == F.col("top.root")).alias("closed"))
     size = F.greatest(F.count(F.lit(1)) / F.lit(BLOCK_TEXTS), F.sum("n") / F.lit(BLOCK_SHINGLES))
     parts = dealt.groupBy("key", "level", "closed").agg(F.ceil(size).alias("parts"))
     dealt = dealt.join(parts, ["key", "level", "closed"]).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(77)), "parts"))
@@ -224,26 +249,32 @@ def _blocks(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     )
 
 
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, members["uid"] == roots["node"], "left").select("uid", "n", "key", "c", F.coalesce("root", "uid").alias("root"))
+
+
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY,
     bands: int = BANDS, band_rows: int = BAND_ROWS, leaders: int = LEADERS,
 ) -> DataFrame:
     """One row per input row: id, class_id (the smallest id of its class), class_size, kept (one of each class), text_hash.
 
-    Texts are linked where the Jaccard similarity of their sets of five-word shingles is at least `similarity`; a class is a
-    connected component of links. Null and empty texts are one class. Null ids are ordered last; of repeated rows
-    one is kept. An empty table gives an empty result.
+    A text is its set of five-word shingles, each weighted by how often it occurs. Texts are linked where the
+    weighted Jaccard similarity, the sum of the lesser over the sum of the greater weights, is at least `similarity`; for texts that
+    repeat no shingle that is the plain one. A class is a connected component of links. Null and empty texts are one
+    class. Null ids are ordered last; of repeated rows one is kept. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     shared_root(spark)
     made = []
 
-    def keep(df: DataFrame, label: str) -> DataFrame:
+    def keep(df: DataFrame, label: str, **options) -> DataFrame:
         made.append(shared_path(spark, label))
-        return written(df, made[-1])
+        return written(df, made[-1], **options)
 
-    every = keep(signed(docs, id_col, text_col, words, bands, band_rows), "signed")
-    # Equal shingle sets become one text, with partial aggregation before the shuffle however many copies there are.
+    # Sorted cells as differences take less than their full width.
+    every = keep(signed(docs, id_col, text_col, words, bands, band_rows), "signed", **{"parquet.writer.version": "v2", "compression": "zstd"})
+    # Equal weighted sets become one text, with partial aggregation before the shuffle however many copies there are.
     same = keep(every.groupBy("set_hash").agg(F.min("uid").alias("rep")), "sets")
     texts = every.join(same, every["uid"] == same["rep"], "left_semi")
     members = texts.filter("n > 0").select("uid", "n", F.explode("bands").alias("key"))
@@ -251,30 +282,36 @@ def near_groups(
     members = keep(members.join(counts, "key"), "members")
     small, large = members.filter(F.col("c") <= SMALL), members.filter(F.col("c") > SMALL)
 
-    keyed = large.select("uid", "n", "key")
-    alone = F.col("uid").alias("root")
     pairs = (
         _small_pairs(small.select("uid", "n", "key"), small.select("key", "c").distinct(), similarity)
-        .unionByName(_leader_pairs(keyed.select("uid", "n", "key", alone), similarity, [1, 2]))
+        .unionByName(_leader_pairs(large.withColumn("root", F.col("uid")), similarity, [1, 2]))
         .distinct()
     )
     sets = every.select("uid", "shingles")
     links = keep(_checked(keep(pairs, "pairs"), sets, similarity), "links")
     roots = keep(components(links), "roots")
+
+    def merged(roots: DataFrame, found: DataFrame, label: str) -> DataFrame:
+        """Roots after further links between classes (a, b): components of classes, a small graph, and each node's class in it."""
+        found = keep(found.distinct(), f"{label}-links")
+        if found.isEmpty():
+            return roots
+        above = keep(components(found), f"{label}-classes").select(F.col("node").alias("root"), F.col("root").alias("above"))
+        # A class of one text is no node yet.
+        alone = above.select(F.col("root").alias("node"), "root").join(roots.select("node"), "node", "left_anti")
+        known = roots.unionByName(alone).join(above, "root", "left")
+        return keep(known.select("node", F.coalesce("above", "root").alias("root")), f"{label}-roots")
+
     # Large buckets with texts of several classes: further leaders meet the texts of other classes.
-    placed = keyed.join(roots, keyed["uid"] == roots["node"], "left").select("uid", "n", "key", F.coalesce("root", "uid").alias("root"))
-    more = _leader_pairs(placed, similarity, list(range(3, 3 + leaders))).distinct()
-    found = keep(_checked(more, sets, similarity), "links-more")
-    if not found.isEmpty():
-        merged = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
-        roots = keep(components(merged), "roots-more")
+    placed = _rooted(large, roots)
+    more = _checked(_leader_pairs(placed, similarity, list(range(3, 3 + leaders))).distinct(), sets, similarity)
+    for side in "ab":
+        own = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        more = more.join(own, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    roots = merged(roots, more.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).filter("a <> b"), "more")
     # Whatever classes are left in a large bucket are compared in full.
-    placed = keyed.join(roots, keyed["uid"] == roots["node"], "left").select("uid", "n", "key", F.coalesce("root", "uid").alias("root"))
-    blocks = keep(_blocks(placed, sets, similarity), "blocks")
-    found = keep(_block_links(blocks, similarity).distinct(), "links-rest")
-    if not found.isEmpty():
-        merged = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
-        roots = keep(components(merged), "roots-rest")
+    blocks = keep(_blocks(_rooted(large, roots), sets, similarity), "blocks")
+    roots = merged(roots, _block_links(blocks, similarity), "rest")
 
     placed = every.select("uid", "id", "text_hash", "set_hash").join(same, "set_hash")
     placed = placed.join(roots, placed["rep"] == roots["node"], "left").withColumn("class", F.coalesce("root", "rep"))
@@ -291,7 +328,13 @@ def near_groups(
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each class, with all columns: the one with the smallest id. Fully repeated rows stay or go together."""
-    kept = near_groups(docs, id_col, text_col, **options).filter("kept").select(F.col(id_col).alias(f"{P}k"), F.col("text_hash").alias(f"{P}h"))
+    """One row of each class, with all columns: the one with the smallest id; of rows with equal id and text any one."""
+    by_row = near_groups(docs, id_col, text_col, **options).groupBy(F.col(id_col).alias(f"{P}k"), F.col("text_hash").alias(f"{P}h"))
+    kept = by_row.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("kept")
     same = F.col(id_col).eqNullSafe(F.col(f"{P}k")) & (F.xxhash64(text_of(text_col)) == F.col(f"{P}h"))
-    return docs.join(kept, same, "left_semi")
+    out = docs.join(kept.filter("n = 1"), same, "left_semi")
+    repeated = kept.filter("n > 1")
+    if repeated.isEmpty():
+        return out
+    more = docs.join(repeated.select(f"{P}k", f"{P}h"), same).dropDuplicates([f"{P}k", f"{P}h"])
+    return out.unionByName(more.select(*docs.columns))

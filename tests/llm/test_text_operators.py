@@ -223,7 +223,11 @@ def test_quality_sample_leaves_held_out_rows_alone(spark):
 
 
 def brute_classes(texts, similarity=0.8):
-    sets = [set(near_dedup.shingles(t).tolist()) for t in texts]
+    sets = []
+    for t in texts:
+        own = (t or "").split()
+        runs = Counter(tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))) if own else Counter()
+        sets.append({(run, nth) for run, n in runs.items() for nth in range(n)})  # occurrences: the weighted similarity
     parent = list(range(len(texts)))
 
     def root(i):
@@ -249,12 +253,15 @@ def test_near_groups(spark):
                 own[rng.randrange(len(own))] = words(rng, 1)
             texts.append(" ".join(own))
     texts += [texts[0]] * 30 + ["", None, " \n", "one", "one", texts[1] + "\n"]
+    line = words(rng, 9)
+    texts += [" ".join([line] * n) for n in (2, 10, 11, 12, 40)] + [" ".join(f"long{i}" for i in range(40_000))] * 2
     rows = [(i, t, "s") for i, t in enumerate(texts)]
     got = {r["doc_id"]: r for r in near_dedup.near_groups(frame(spark, rows)).collect()}
     assert [got[i]["class_id"] for i in range(len(texts))] == brute_classes(texts)
     assert sum(r["kept"] for r in got.values()) == len(set(brute_classes(texts)))
-    kept = near_dedup.drop_near(frame(spark, rows))
+    kept = near_dedup.drop_near(frame(spark, rows + rows[:3] + rows[-1:]))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_classes(texts)))
+    assert kept.columns == frame(spark, []).columns
 
 
 def from_template(rng, template, n):
