@@ -127,10 +127,11 @@ def _with_bucket(members: DataFrame, of_key: DataFrame) -> DataFrame:
 def _leader_pairs(members: DataFrame, similarity: float, seeds: list[int]) -> DataFrame:
     """Each text of a bucket with those leaders of the bucket that it may be linked to and is not classed with yet.
 
-    A leader for each seed is drawn by hash, with partial aggregation before the shuffle.
+    A leader for each seed is drawn by hash, with partial aggregation before the shuffle. The hash is of the text alone, so buckets
+    that hold much the same texts have the same leaders and ask for the same pairs.
     """
     me = F.struct(F.col("uid").alias("uid"), F.col("n").alias("n"), F.col("root").alias("root"))
-    leaders = members.groupBy("key").agg(F.first("c").alias("c"), *(F.min_by(me, F.xxhash64("uid", "key", F.lit(s))).alias(f"l{s}") for s in seeds))
+    leaders = members.groupBy("key").agg(F.first("c").alias("c"), *(F.min_by(me, F.xxhash64("uid", F.lit(s))).alias(f"l{s}") for s in seeds))
     fits = F.filter(
         F.array_distinct(F.array(*(F.col(f"l{s}") for s in seeds))),
         lambda x: (x["uid"] != F.col("uid")) & (x["root"] != F.col("root")) & (F.least("n", x["n"]) >= similarity * F.greatest("n", x["n"])),
@@ -273,7 +274,8 @@ def near_groups(
         return written(df, made[-1], **options)
 
     # Sorted cells as differences take less than their full width.
-    every = keep(signed(docs, id_col, text_col, words, bands, band_rows), "signed", **{"parquet.writer.version": "v2", "compression": "zstd"})
+    narrow = {"parquet.writer.version": "v2", "compression": "zstd"}
+    every = keep(signed(docs, id_col, text_col, words, bands, band_rows), "signed", **narrow)
     # Equal weighted sets become one text, with partial aggregation before the shuffle however many copies there are.
     same = keep(every.groupBy("set_hash").agg(F.min("uid").alias("rep")), "sets")
     texts = every.join(same, every["uid"] == same["rep"], "left_semi")
@@ -287,7 +289,9 @@ def near_groups(
         .unionByName(_leader_pairs(large.withColumn("root", F.col("uid")), similarity, [1, 2]))
         .distinct()
     )
-    sets = every.select("uid", "shingles")
+    # Only texts that share a band are ever compared.
+    met = keep(members.select("uid").distinct(), "met")
+    sets = keep(every.join(met, "uid", "left_semi").select("uid", "shingles"), "cells", **narrow)
     links = keep(_checked(keep(pairs, "pairs"), sets, similarity), "links")
     roots = keep(components(links), "roots")
 
