@@ -34,6 +34,10 @@ def test_top_k(spark, blocks):
     for r in bitsliced.top_k(df, 20, block_rows=blocks[0], block_queries=blocks[1]).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     assert got == brute_top(rows, 20)
+    big = spark.createDataFrame([(20, [1e8, -3.0]), (1, [1.0, 1e9]), (2, [-1e8, 0.5]), (3, [1e30, 1.0]), (4, [2.0, -1e30])], "vec_id long, embedding array<double>")
+    v = {i: [max(-(2**63), min(2**63 - 1, math.floor(64 * x))) for x in e] for i, e in big.collect()}
+    exact = sorted((-sum(a * b for a, b in zip(v[20], v[i], strict=True)), i) for i in v if i != 20)
+    assert [(r[2], r[3]) for r in bitsliced.top_k(big).orderBy("rank").collect()] == [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in exact]
     assert bitsliced.top_k(df.limit(0)).count() == 0
     assert bitsliced.top_k(df.filter("vec_id in (20, 21)")).count() == 1
 
