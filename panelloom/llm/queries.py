@@ -28,7 +28,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = store.manifest(version).select(
         F.element_at(F.split("path", "/"), -1).alias("shard"), F.col("bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows")
     )
-    rows = store.read(version).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "shard")
+    rows = store.read(version, shard_col=f"{P}shard").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.col(f"{P}shard").alias("shard"))
     return rows.join(sizes, "shard").select("doc_id", "text_sha256", "shard", "shard_bytes", "shard_rows", F.lit(version).alias("version"))
 
 

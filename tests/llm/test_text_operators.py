@@ -343,13 +343,60 @@ def test_components(spark):
 def test_shard_store(spark, odd, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=1 << 20)
     docs = frame(spark, odd).repartition(7)
+    assert store.versions() == [] and store.compact() == 0 and store.manifest().count() == 0
+    docs = docs.withColumn("shard", docs["doc_id"] + 0).withColumn("day", docs["doc_id"] % 11)
     assert store.append(docs) == 1
-    assert store.append(docs.withColumn("day", docs["doc_id"] % 2).fillna(0, ["day"]), batch_col="day") == 3
+    last = store.append(docs, batch_col="day")
+    batches = [r["batch"] for r in store.manifest().select("batch").distinct().collect()]
+    assert last == 1 + 12 == len(batches)  # eleven days and null
+    order = [(set(r["batch"] for r in store.manifest(v).collect()) - set(r["batch"] for r in store.manifest(v - 1).collect())).pop() for v in range(2, last + 1)]
+    assert order == ["__HIVE_DEFAULT_PARTITION__", *map(str, range(11))]
     before = store.manifest().count()
-    version = store.compact()
-    assert store.manifest(version).count() < before
-    key = lambda df: sorted(map(str, df.select("doc_id", "text").collect()))
-    assert key(store.read()) == key(docs.unionByName(docs))
+    key = lambda df: sorted(map(str, df.select("doc_id", "text", "shard", "day").collect()))
+    assert key(store.read(1)) == key(docs)
+    version = store.compact(retain=3)
+    assert store.manifest(version).count() < before and len(store.versions()) == 3
+    assert key(store.read()) == key(docs.unionByName(docs)) == key(store.read(version - 1))
+    assert store.read().columns == docs.columns
     assert store.manifest().agg({"n_rows": "sum"}).first()[0] == 2 * len(odd)
-    with pytest.raises(RuntimeError):
-        store._commit(store.manifest(), version - 1)
+    with pytest.raises(ValueError):
+        store.read(1)
+    with pytest.raises(ValueError):
+        store.read(shard_col="shard")
+    with pytest.raises(ValueError):
+        store.append(docs.drop("day"))
+    with pytest.raises(sharding.Conflict):
+        store._commit(store.manifest(), version - 1, docs.schema)
+    assert store.append(docs.limit(0)) == version + 1 and key(store.read()) == key(docs.unionByName(docs))
+    store.expire()
+    listed = {r["path"].rpartition("/")[2] for r in store.manifest().collect()}
+    assert {f.name for f in tmp_path.rglob("part-*.parquet") if "data" in f.parts and f.stat().st_size} >= listed
+
+
+def test_empty_shard_store(spark, odd, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    none = frame(spark, [])
+    assert store.append(none, batch_col="source") == 1 and store.append(none) == 2
+    assert store.compact() == 2 and store.read().schema == none.schema and store.read(shard_col="file").count() == 0
+    store.append(frame(spark, odd[:3]))
+    assert store.read().count() == 3
+
+
+def test_one_of_many_writers_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    for i in range(5):
+        path = f"file://{tmp_path}/{i}"
+        with ThreadPoolExecutor(8) as pool:
+            won = list(pool.map(lambda n: sharding.put_if_absent(spark, path, f"writer {n}"), range(8)))  # noqa: B023
+        assert sum(won) == 1 and (tmp_path / str(i)).read_text() == f"writer {won.index(True)}"
+
+
+def test_writers_that_race_keep_both_arrivals(spark, odd, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    docs = frame(spark, odd[:20]).coalesce(1)
+    stores = [sharding.ShardStore(spark, f"file://{tmp_path}/store") for _ in range(3)]
+    with ThreadPoolExecutor(3) as pool:
+        versions = list(pool.map(lambda s: s.append(docs), stores))
+    assert sorted(versions) == [1, 2, 3] and stores[0].read().count() == 60
