@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remove, shared_path, written
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """node, root (the smallest node of its component) for each node of edges(a, b); loops alone are no nodes.
 
     Rounds of large stars and small stars: each node tells its larger, then its smaller neighbours of the smallest
     that it knows, until the edges are stars, whatever the number of rounds (it grows with the logarithm of the nodes). The
     edge list never grows beyond its first length plus the nodes, and each round is written to the shared
-    folder, so no lineage builds up. An empty table gives an empty result.
+    folder, so no lineage builds up; the last round stays below `folder`, for the caller to remove. An empty table gives an
+    empty result.
     """
     spark = edges.sparkSession
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    path = None
+    path, folder = None, folder or shared_path(spark, "components")
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -27,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct()
-        there = shared_path(spark, "stars")
+        there = f"{folder}/stars-{uuid.uuid4().hex}"
         now = written(small, there)
         if path:
             remove(spark, path)

@@ -57,14 +57,16 @@ def unit_cells(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.unique(cells(elements, counts)[1] >> np.uint64(64 - CELL_BITS)).view(np.int64)
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, band_rows: int) -> DataFrame:
-    """uid, id, text hash, hash of the weighted shingle set, its size, its cells and band keys, for every document."""
+def signed(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, band_rows: int, by_count: bool) -> DataFrame:
+    """uid, id, text hash, hash of the shingle set, its size, its cells and band keys, for every document."""
     kind = dict(docs.dtypes)[id_col]
     schema = f"id {kind}, text_hash long, set_hash binary, n int, shingles array<long>, bands array<long>"
 
     def some_rows(batch: pd.DataFrame, known: _Words) -> pd.DataFrame:
         prime = np.uint64(0x100000001B3)
         own = [shingles(t, words, known) for t in batch["t"]]
+        if not by_count:
+            own = [(elements, np.ones_like(counts)) for elements, counts in own]
         keys = np.zeros((len(own), bands), np.uint64)
         low = 0
         while low < len(own):
@@ -76,7 +78,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int,
             if some:
                 sets = np.repeat(np.arange(len(some)), [len(own[i][0]) for i in some])
                 elements, weights = (np.concatenate([own[i][c] for i in some]) for c in (0, 1))
-                sig = signatures(elements, sets, len(some), bands * band_rows, weights.astype(float))
+                sig = signatures(elements, sets, len(some), bands * band_rows, weights.astype(float) if by_count else None)
                 key = np.zeros((len(some), bands), np.uint64)
                 for r in range(band_rows):
                     key = mix(key * prime + sig[:, r::band_rows])
@@ -256,27 +258,27 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY,
-    bands: int = BANDS, band_rows: int = BAND_ROWS, leaders: int = LEADERS,
+    bands: int = BANDS, band_rows: int = BAND_ROWS, leaders: int = LEADERS, by_count: bool = False,
 ) -> DataFrame:
     """One row per input row: id, class_id (the smallest id of its class), class_size, kept (one of each class), text_hash.
 
-    A text is its set of five-word shingles, each weighted by how often it occurs. Texts are linked where the
-    weighted Jaccard similarity, the sum of the lesser over the sum of the greater weights, is at least `similarity`; for texts that
-    repeat no shingle that is the plain one. A class is a connected component of links. Null and empty texts are one
-    class. Null ids are ordered last; of repeated rows one is kept. An empty table gives an empty result.
+    A text is its set of five-word shingles; with by_count each is weighted by how often it occurs. Texts are linked where
+    their Jaccard similarity, the sum of the lesser over the sum of the greater weights, is at least `similarity`; a class is a
+    connected component of links. By count, a line that is repeated hundreds of times makes texts alike that share nothing
+    else, so all shingles weigh the same by default. Null and empty texts are one class. Null ids are ordered last; of
+    repeated rows one is kept. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     shared_root(spark)
-    made = []
+    folder = shared_path(spark, "near-work")
 
     def keep(df: DataFrame, label: str, **options) -> DataFrame:
-        made.append(shared_path(spark, label))
-        return written(df, made[-1], **options)
+        return written(df, f"{folder}/{label}", **options)
 
     # Sorted cells as differences take less than their full width.
     narrow = {"parquet.writer.version": "v2", "compression": "zstd"}
-    every = keep(signed(docs, id_col, text_col, words, bands, band_rows), "signed", **narrow)
-    # Equal weighted sets become one text, with partial aggregation before the shuffle however many copies there are.
+    every = keep(signed(docs, id_col, text_col, words, bands, band_rows, by_count), "signed", **narrow)
+    # Equal sets become one text, with partial aggregation before the shuffle however many copies there are.
     same = keep(every.groupBy("set_hash").agg(F.min("uid").alias("rep")), "sets")
     texts = every.join(same, every["uid"] == same["rep"], "left_semi")
     members = texts.filter("n > 0").select("uid", "n", F.explode("bands").alias("key"))
@@ -293,14 +295,14 @@ def near_groups(
     met = keep(members.select("uid").distinct(), "met")
     sets = keep(every.join(met, "uid", "left_semi").select("uid", "shingles"), "cells", **narrow)
     links = keep(_checked(keep(pairs, "pairs"), sets, similarity), "links")
-    roots = keep(components(links), "roots")
+    roots = keep(components(links, folder), "roots")
 
     def merged(roots: DataFrame, found: DataFrame, label: str) -> DataFrame:
         """Roots after further links between classes (a, b): components of classes, a small graph, and each node's class in it."""
         found = keep(found.distinct(), f"{label}-links")
         if found.isEmpty():
             return roots
-        above = keep(components(found), f"{label}-classes").select(F.col("node").alias("root"), F.col("root").alias("above"))
+        above = keep(components(found, folder), f"{label}-classes").select(F.col("node").alias("root"), F.col("root").alias("above"))
         # A class of one text is no node yet.
         alone = above.select(F.col("root").alias("node"), "root").join(roots.select("node"), "node", "left_anti")
         known = roots.unionByName(alone).join(above, "root", "left")
@@ -326,8 +328,7 @@ def near_groups(
         (F.col("uid") == F.col("first.uid")).alias("kept"), "text_hash",
     )
     out = written(out, shared_path(spark, "near"))
-    for path in made:
-        remove(spark, path)
+    remove(spark, folder)
     return out
 
 

@@ -222,12 +222,12 @@ def test_quality_sample_leaves_held_out_rows_alone(spark):
     assert not any(zlib.crc32(str(i).encode()) % 5 == 0 for i in ids) and set(marks) == {0, 1}
 
 
-def brute_classes(texts, similarity=0.8):
+def brute_classes(texts, similarity=0.8, by_count=False):
     sets = []
     for t in texts:
         own = (t or "").split()
         runs = Counter(tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))) if own else Counter()
-        sets.append({(run, nth) for run, n in runs.items() for nth in range(n)})  # occurrences: the weighted similarity
+        sets.append({(run, nth) for run, n in runs.items() for nth in range(n if by_count else 1)})
     parent = list(range(len(texts)))
 
     def root(i):
@@ -256,6 +256,8 @@ def test_near_groups(spark):
     line = words(rng, 9)
     texts += [" ".join([line] * n) for n in (2, 10, 11, 12, 40)] + [" ".join(f"long{i}" for i in range(40_000))] * 2
     rows = [(i, t, "s") for i, t in enumerate(texts)]
+    by_count = {r["doc_id"]: r["class_id"] for r in near_dedup.near_groups(frame(spark, rows), by_count=True).collect()}
+    assert [by_count[i] for i in range(len(texts))] == brute_classes(texts, by_count=True) != brute_classes(texts)
     got = {r["doc_id"]: r for r in near_dedup.near_groups(frame(spark, rows)).collect()}
     assert [got[i]["class_id"] for i in range(len(texts))] == brute_classes(texts)
     assert sum(r["kept"] for r in got.values()) == len(set(brute_classes(texts)))
