@@ -1,4 +1,8 @@
-"""Quality by compression: how much shorter a text gets under a dictionary of good than of bad labelled text."""
+"""Quality by compression: how much shorter a text gets under a dictionary of good than of bad labelled text.
+
+Both dictionaries are trained by zstandard on whole labelled texts. A text's score is the difference of its compressed sizes
+as a share of its bytes, calibrated by a logistic curve on labelled texts that the dictionaries have not seen.
+"""
 
 from __future__ import annotations
 
@@ -12,12 +16,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, small_batches, text_of
+from .common import P, text_of
 
-#: Bounds of the fit: labelled documents for each label, and bytes of text from each of them.
+#: Bound of the fit: labelled documents for each label, each with its whole text.
 MOST_LABELLED = 1500
-MOST_BYTES = 6000
-DICTIONARY_BYTES = 256 << 10
+DICTIONARY_BYTES = 112 << 10
+#: Bytes of the samples that labelled texts are cut into for training; a dictionary is made of strings far shorter.
+SAMPLE_BYTES = 1024
 #: Texts are compressed in parts of this many bytes, so that long ones depend on the dictionaries as short ones do.
 PART_BYTES = 2048
 #: Added to a text's bytes: about what a frame takes besides its content.
@@ -34,7 +39,7 @@ def fold(doc_id) -> int:
 class Model:
     good: bytes
     bad: bytes
-    weights: tuple[float, float, float]
+    weights: tuple[float, float]
 
     def __post_init__(self):
         self._made = None
@@ -46,47 +51,46 @@ class Model:
         if self._made is None:
             self._made = [
                 zstandard.ZstdCompressor(
-                    dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                    dict_data=zstandard.ZstdCompressionDict(d),
                     compression_params=zstandard.ZstdCompressionParameters.from_level(LEVEL, window_log=20, write_content_size=False, write_checksum=False),
                 ) if d else zstandard.ZstdCompressor(level=LEVEL)
                 for d in (self.good, self.bad)
             ]
         return self._made
 
-    def sizes(self, text: str | None) -> tuple[float, float]:
-        """Compressed-size difference, bad less good, and mean compressed size, both as shares of the text's bytes.
-
-        The second tells texts that repeat themselves, whose difference is next to nothing under any dictionary.
-        """
+    def difference(self, text: str | None) -> float:
+        """Compressed-size difference, bad less good, as a share of the text's bytes."""
         raw = (text or "").encode("utf-8", "replace")
         good, bad = self._compressors()
-        g = b = 0
+        gain = 0
         for low in range(0, len(raw), PART_BYTES):
             part = raw[low : low + PART_BYTES]
-            g += len(good.compress(part))
-            b += len(bad.compress(part))
-        return (b - g) / (len(raw) + FRAME_BYTES), (b + g) / 2 / (len(raw) + FRAME_BYTES)
+            gain += len(bad.compress(part)) - len(good.compress(part))
+        return gain / (len(raw) + FRAME_BYTES)
 
     def score(self, text: str | None) -> float:
-        difference, size = self.sizes(text)
-        w = self.weights
-        return float(1.0 / (1.0 + np.exp(-np.clip(w[0] * difference + w[1] * size + w[2], -40, 40))))
+        slope, base = self.weights
+        return float(1.0 / (1.0 + np.exp(-np.clip(slope * self.difference(text) + base, -40, 40))))
 
 
 def _dictionary(texts: list[str]) -> bytes:
-    """Raw content: equal shares of the texts, cut where the dictionary is full."""
-    if not texts:
-        return b""
-    each = max(64, DICTIONARY_BYTES // len(texts))
-    return b"".join(t.encode("utf-8", "replace")[:each] for t in texts)[-DICTIONARY_BYTES:]
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Weights of both features and intercept by Newton's method, with a small ridge on the scaled features."""
-    scale = np.append(np.where(x.std(0) > 0, x.std(0), 1.0), 1.0)
+    """Trained on all parts of the texts; where these are too few to train on, the texts themselves."""
+    parts = []
+    for t in texts:
+        raw = t.encode("utf-8", "replace")
+        parts += [raw[low : low + SAMPLE_BYTES] for low in range(0, len(raw), SAMPLE_BYTES)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b" ".join(parts)[-DICTIONARY_BYTES:]
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept by Newton's method, with a small ridge on the scaled difference."""
+    scale = np.array([x.std() or 1.0, 1.0])
     z = np.column_stack([x, np.ones(len(x))]) / scale
-    w = np.zeros(3)
-    ridge = np.array([1e-2, 1e-2, 1e-6])
+    w = np.zeros(2)
+    ridge = np.array([1e-2, 1e-6])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge)
@@ -107,46 +111,45 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     bad = [t for t, v in zip(texts, y, strict=True) if v != 1]
     if len(good) < 2 or len(bad) < 2:
         share = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
-        return Model(b"", b"", (0.0, 0.0, float(np.log(share / (1 - share)))))
+        return Model(b"", b"", (0.0, float(np.log(share / (1 - share)))))
     x, truth = [], []
     for half in (0, 1):
-        model = Model(_dictionary(good[half::2]), _dictionary(bad[half::2]), (0.0, 0.0, 0.0))
+        model = Model(_dictionary(good[half::2]), _dictionary(bad[half::2]), (0.0, 0.0))
         for held, label in ((good[1 - half :: 2], 1), (bad[1 - half :: 2], 0)):
-            x += [model.sizes(t) for t in held]
+            x += [model.difference(t) for t in held]
             truth += [label] * len(held)
     return Model(_dictionary(good), _dictionary(bad), _logistic(np.array(x), np.array(truth, float)))
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int = MOST_LABELLED, most_bytes: int = MOST_BYTES
-) -> tuple[list[str], list[int]]:
-    """At most `most` training rows of each label, chosen by a hash of the id; the same at each run."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int = MOST_LABELLED) -> tuple[list[str], list[int]]:
+    """At most `most` training documents of each label, chosen by a hash of the id, with their whole texts; the same at each run.
+
+    Of several labels of a document the least counts, of several texts of an id the first in order; null ids and labels give none.
+    """
     lab = labels.select(F.col(id_col).alias(f"{P}k"), F.col(label_col).cast("int").alias(f"{P}y")).filter(
         F.col(f"{P}k").isNotNull() & F.col(f"{P}y").isin(0, 1) & (F.pmod(F.crc32(F.col(f"{P}k").cast("string")), F.lit(FOLDS)) != 0)
     )
+    lab = lab.groupBy(f"{P}k").agg(F.min(f"{P}y").alias(f"{P}y"))
     order = F.xxhash64(F.col(f"{P}k"), F.lit(7))
-    picked = []
-    for label in (0, 1):
-        picked.append(lab.filter(F.col(f"{P}y") == label).dropDuplicates([f"{P}k"]).orderBy(order, f"{P}k").limit(most))
+    picked = [lab.filter(F.col(f"{P}y") == label).orderBy(order, f"{P}k").limit(most) for label in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
     rows = (
         docs.select(F.col(id_col).alias(f"{P}id"), text_of(text_col).alias(f"{P}t"))
         .join(F.broadcast(chosen), F.col(f"{P}id") == F.col(f"{P}k"))
-        .select(f"{P}id", F.substring(f"{P}t", 1, most_bytes), f"{P}y")
-        .dropDuplicates([f"{P}id"])
+        .groupBy(f"{P}id", f"{P}y")
+        .agg(F.min(f"{P}t").alias(f"{P}t"))
         .collect()
     )
     rows = sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-    return [r[1] for r in rows], [r[2] for r in rows]
+    return [r[2] for r in rows], [r[1] for r in rows]
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score (double, 0 to 1). Null and empty texts get the score of an even difference; long ones count whole."""
-    small_batches(docs.sparkSession)
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with a score (double, 0 to 1), which replaces a column of that name. Null and empty texts get the score of an even difference; long ones count whole."""
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([model.score(t) for t in batch], dtype="float64")
 
-    return docs.withColumn("score", scored(text_of(text_col)))
+    return docs.withColumn(score_col, scored(text_of(text_col)))
