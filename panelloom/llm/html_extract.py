@@ -18,11 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, small_batches
+from .common import P
 from .html_pages import labelled_pages
 
 #: How HTML treats these elements.
-SILENT = frozenset("script style noscript template iframe object svg math head title textarea select button option canvas audio video map".split())
+SILENT = frozenset("script style noscript template iframe object svg math head title textarea select datalist button option canvas audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
@@ -32,6 +32,8 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot caption li dd dt legend summary".split())
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
             "option": {"option"}}
+#: What a head may hold; any other element ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
 #: White space that HTML joins inside a block.
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
@@ -55,7 +57,10 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", (), None)
         self.open: list[tuple[str, Node]] = [("html", self.root)]
+        self.count = Counter()  # open elements by tag, so that an end without a start costs nothing
         self.silent: list[str] = []
+        self.silent_count = Counter()
+        self.loose: Node | None = None
         self.blocks: list[tuple[Node, list[str]]] = []
         self.text: list[str] = []
         self.link = 0
@@ -63,16 +68,54 @@ class Tree(HTMLParser):
 
     def _flush(self):
         if self.text:
-            self.blocks.append((self.open[-1][1], self.text))
+            self.blocks.append((self.loose or self.open[-1][1], self.text))
             self.text = []
+        self.loose = None
+
+    def _silence(self, tag: str):
+        self.silent.append(tag)
+        self.silent_count[tag] += 1
+
+    # Markup that nothing closes takes the rest of the page, as in HTML, and is looked for once.
+
+    def _ends(self, mark: str, i: int) -> bool:
+        if mark not in self.last:
+            self.last[mark] = self.rawdata.rfind(mark)
+        return self.last[mark] >= i
+
+    def feed(self, data):
+        self.last: dict[str, int] = {}
+        super().feed(data)
+
+    def close(self):
+        self.last = {}  # what is left of the page begins anew
+        super().close()
+
+    def parse_starttag(self, i):
+        return super().parse_starttag(i) if self._ends(">", i) else len(self.rawdata)
+
+    def parse_endtag(self, i):
+        return super().parse_endtag(i) if self._ends(">", i) else len(self.rawdata)
+
+    def parse_pi(self, i):
+        return super().parse_pi(i) if self._ends(">", i) else len(self.rawdata)
+
+    def parse_html_declaration(self, i):
+        return super().parse_html_declaration(i) if self._ends(">", i) else len(self.rawdata)
+
+    def parse_comment(self, i, report=1):
+        return super().parse_comment(i, report) if self._ends("-->", i + 2) or self._ends("--!>", i + 2) else len(self.rawdata)
 
     def handle_starttag(self, tag, attrs):
+        if self.silent and (self.silent == ["head"] and tag not in IN_HEAD or tag in BLOCK and self.silent_count["option"] == len(self.silent)):
+            self.silent.clear()
+            self.silent_count.clear()
         if self.silent:
             if tag in SILENT and tag not in VOID:
-                self.silent.append(tag)
+                self._silence(tag)
             return
         if tag in SILENT:
-            self.silent.append(tag)
+            self._silence(tag)
             return
         if tag == "br":
             self.text.append(" ")
@@ -96,16 +139,20 @@ class Tree(HTMLParser):
         node.truth = int(self.inside > 0 and not self.outside)
         self.open[-1][1].children.append(node)
         self.open.append((tag, node))
+        self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag in SILENT and self.silent:
-            self.silent.pop()
+            self.silent_count[self.silent.pop()] -= 1
 
     def _close(self, tag: str, within: bool = False):
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
                 self._flush()
+                self.count.subtract(t for t, _ in self.open[i:])
                 del self.open[i:]
                 return
             if within and self.open[i][0] in ("table", "ul", "ol", "dl", "select"):
@@ -115,9 +162,12 @@ class Tree(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.silent:
-            if tag in self.silent:
-                while self.silent.pop() != tag:
-                    pass
+            if self.silent_count[tag]:
+                while True:
+                    last = self.silent.pop()
+                    self.silent_count[last] -= 1
+                    if last == tag:
+                        break
             return
         if tag == "a":
             self.link = max(0, self.link - 1)
@@ -134,6 +184,15 @@ class Tree(HTMLParser):
                 self.outside += step[1]
                 data = data.replace(mark, "")
         node = self.open[-1][1]
+        if node is self.root:
+            if self.loose is None:
+                if not data.strip():
+                    return
+                # Text straight in the body is a paragraph of its own.
+                self.loose = Node("p", (), node)
+                self.loose.truth = int(self.inside > 0 and not self.outside)
+                node.children.append(self.loose)
+            node = self.loose
         n = len(data) - data.count(" ")
         node.chars += n
         if self.link:
@@ -255,7 +314,6 @@ def main_text(html: str | None, model: Model | None = None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with text and n_chars (its code points) for their html; a null page has an empty text. Other columns stay."""
-    small_batches(pages.sparkSession, 64)
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
