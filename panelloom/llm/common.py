@@ -34,6 +34,8 @@ def shared_root(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
         if not named:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = "file://" + tempfile.mkdtemp(prefix="panelloom-")
             spark.sparkContext.setCheckpointDir(named)
     elif not spark.sparkContext.getCheckpointDir():
@@ -60,10 +62,3 @@ def written(df: DataFrame, path: str, **options) -> DataFrame:
     """The rows of df, kept as Parquet in the shared folder: lineage ends here and a lost executor costs nothing."""
     df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Rows and bytes per Arrow batch, so that long texts in a row do not make a batch large. Holds for the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

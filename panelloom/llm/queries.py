@@ -114,7 +114,7 @@ placed AS (
          CASE WHEN s.source_size > 0 THEN s.target / s.source_size ELSE 0.0::DOUBLE END AS rate
   FROM numbered n JOIN targets s ON n.source IS NOT DISTINCT FROM s.source)
 SELECT doc_id, size, source_size, target,
-       CAST(floor(23197.0::DOUBLE / 65536 + rate * i) - floor(23197.0::DOUBLE / 65536 + rate * (i - 1)) AS BIGINT) * size AS taken
+       CAST(floor(OFFSET_OF_SEED::DOUBLE + rate * i) - floor(OFFSET_OF_SEED::DOUBLE + rate * (i - 1)) AS BIGINT) * size AS taken
 FROM placed
 """
 
@@ -158,6 +158,6 @@ def oracle_sql() -> dict[str, str]:
                   FROM q a JOIN q b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
-        "op7_mixing": _MIX_SQL,
+        "op7_mixing": _MIX_SQL.replace("OFFSET_OF_SEED", repr(mixing.random_offset(0))),
         "op10_chat": _CHAT_SQL,
     }

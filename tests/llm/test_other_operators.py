@@ -49,9 +49,27 @@ PAGES = {
     "comments": ("<article><p>The story itself is here.</p></article><section class=comments><p>I like this story very much.</p></section>", "The story itself is here."),
     "unclosed": ("<article><p>first words of it<p>second words of it<footer>&copy; someone", "first words of it\n\nsecond words of it"),
     "form": ("<header><h1>Site</h1></header><article><h1>Story</h1><p>Long enough text for a story.</p></article><form><p>Subscribe now</p><input></form>", "Story\n\nLong enough text for a story."),
+    "no end of head": ("<html><head><title>t</title><body><article><p>The story is told in here.</p></article>", "The story is told in here."),
+    "open option": ("<datalist><option>a<option>b</datalist><article><p>The story is told in here.</p></article>", "The story is told in here."),
+    "comment left open": ("<article><p>The story is told in here.</p><!-- and <p>no more", "The story is told in here."),
+    "tag left open": ("<article><p>The story is told in here.</p><a href='", "The story is told in here."),
 }
 
 
+@pytest.mark.parametrize("part", ["<blockquote>", "<a ", "<!--", "</div>", "<svg></p>", "<li><p>", "<?", "<!x", "</", "<p><td>"])
+def test_time_grows_with_the_page(part):
+    import time
+
+    model = html_extract.trained()
+
+    def seconds(n):
+        began = time.process_time()
+        html_extract.main_text(part * n, model)
+        return time.process_time() - began
+
+    assert seconds(64_000) < 20 * max(seconds(8_000), 0.02)
+
+
 @pytest.mark.parametrize("name", PAGES)
 def test_main_text(name):
     html, text = PAGES[name]

@@ -110,6 +110,8 @@ def test_mixing(spark, odd):
     again = mixing.mix(frame(spark, odd[::-1])).collect()
     key = lambda rows: sorted((r["doc_id"] or -1, r["size"], r["taken"]) for r in rows)
     assert key(got) == key(again)
+    other = mixing.mix(frame(spark, odd), seed=1).collect()
+    assert key(other) != key(got) and sum(r["target"] for r in other) == pytest.approx(sum(r["target"] for r in got))
     assert mixing.emit(mixing.mix(frame(spark, odd).drop("copies", "size")), ["doc_id", "text"]).count() == sum(r["copies"] for r in got)
 
 
@@ -215,10 +217,15 @@ def test_quality():
 
 
 def test_quality_sample_leaves_held_out_rows_alone(spark):
-    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)] + [(None, "x"), (3, None)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (2, None), (4, 0)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)] + [(None, "x"), (5, None), (7, "text 7" + " long" * 9000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (2, None), (9, 0), (9, 1)], "doc_id long, quality int")
     texts, marks = quality.labelled_sample(docs, labels, "doc_id", "text", "quality")
     ids = {int(t.split()[1]) for t in texts if t}
+    again = quality.labelled_sample(docs.repartition(5), labels.repartition(3), "doc_id", "text", "quality")
+    assert (texts, marks) == again and len(set(texts)) == len(texts)
+    assert ("text 9", 0) in zip(texts, marks, strict=True) and "text 7" in texts and ("" in texts) == (zlib.crc32(b"5") % 5 != 0)
+    few, _ = quality.labelled_sample(docs, labels, "doc_id", "text", "quality", most=3)
+    assert len(few) == 6
     assert not any(zlib.crc32(str(i).encode()) % 5 == 0 for i in ids) and set(marks) == {0, 1}
 
 
