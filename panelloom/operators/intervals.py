@@ -280,7 +280,7 @@ def _transferred(panel: Any, pred: DataFrame, levels: list[float], h: int, trans
         scores = scores.join(source_scale, q(r.id) == F.col("__i")).select(*(q(c) if c not in names else (q(c) / F.col("__s")).alias(c) for c in scores.columns))
     if transfer.method.endswith("weighted") or transfer.method == "weighted_conformal":
         features = list(panel.plan.features)
-        source = panel.source_frame.select(q(r.id).alias("__i"), *(q(f) for f in features))
+        source = panel.clone().plan.prepare(panel.source, validate=False).select(q(r.id).alias("__i"), *(q(f) for f in features))
         target = panel.clone().plan.prepare(panel.plan.original, validate=False).select(*(q(f) for f in features))
         weights = estimate_density_ratio(source, target, features, transfer.cv, transfer.clip_quantile).groupBy("__i").agg(F.avg("weight").alias("weight"))
         scores = scores.join(weights, q(r.id) == F.col("__i")).drop("__i")

@@ -204,6 +204,7 @@ class Panel:
         self.fitted: dict[str, Any] = {}
         self.steps: list[int] | None = None
         self.scores: DataFrame | None = None
+        self.source: DataFrame | None = None
 
     def clone(self) -> Panel:
         return Panel(dict(self.models), **self._fresh_options(), id_col=self.roles.id, time_col=self.roles.time, target_col=self.roles.target)
@@ -271,6 +272,7 @@ class Panel:
             horizon_features = self._routed(horizon_feature_templates, steps)
         self.horizon_features = horizon_features
         self.fit_models(frame, steps, horizon_features)
+        self.source = self.plan.original
         self.frame = frame if fitted else None
         self.source_rows = self.plan.transformed if fitted else None
         return self
@@ -306,14 +308,22 @@ class Panel:
         """id, time and a column for each model, with intervals for the levels if asked for.
 
         weights (id, weight), or a function that gives them from the scores, weigh the scores of weighted interval methods.
+        new_df are the rows of other series, whose forecasts are asked for; the panel's own state stays as it is.
         """
         if not self.fitted:
             raise ValueError("call fit first")
+        own = self.plan
         if new_df is not None:
-            source = self.plan
-            self.plan = Plan(**self._fresh_options(), roles=self.roles)
-            self.plan.prepare(new_df, static_features=[c for c in source.statics if c in new_df.columns], validate=True, weight_col=source.weight if source.weight in new_df.columns else None)
-            self.plan.inputs = source.inputs
+            plan = Plan(**self._fresh_options(), roles=self.roles)
+            plan.prepare(new_df, static_features=[c for c in own.statics if c in new_df.columns], validate=True, weight_col=own.weight if own.weight in new_df.columns else None)
+            plan.inputs = own.inputs
+            self.plan = plan
+        try:
+            return self._predicted(h, X_df, level, ids, before_predict_callback, after_predict_callback, transfer, weights)
+        finally:
+            self.plan = own
+
+    def _predicted(self, h, X_df, level, ids, before_predict_callback, after_predict_callback, transfer, weights) -> DataFrame:
         if ids is not None:
             if any(s.pools_series for s in self.plan.scopes):
                 raise ValueError("ids can't be chosen with pooled features")

@@ -449,13 +449,12 @@ def keep_last(spark, sf_dir):
     return shown(last_rows(_monthly(spark, sf_dir), R, 5), {"y": "y"})
 
 
-@query("broken_grids", """WITH p AS (SELECT l_returnflag || l_linestatus AS id, CAST(l_shipdate AS DATE) AS ds FROM lineitem WHERE l_quantity > 45), g AS (SELECT id, min(ds) AS first, max(ds) AS last, count(*) AS n, count(DISTINCT ds) AS n_distinct FROM p GROUP BY id)
+@query("broken_grids", """WITH p AS (SELECT l_returnflag || l_linestatus AS id, CAST(l_shipdate AS DATE) AS ds FROM lineitem), g AS (SELECT id, min(ds) AS first, max(ds) AS last, count(*) AS n, count(DISTINCT ds) AS n_distinct FROM p GROUP BY id)
 SELECT * FROM g WHERE n <> n_distinct OR first + CAST(n_distinct - 1 AS INT) <> last""")
 def grids(spark, sf_dir):
     from .functions.freq import Freq
 
-    rows_ = panels.table(spark, sf_dir, "lineitem").filter("l_quantity > 45")
-    df = rows_.select(F.concat("l_returnflag", "l_linestatus").alias("unique_id"), F.to_date("l_shipdate").alias("ds"), F.lit(1.0).alias("y"))
+    df = panels.table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("unique_id"), F.to_date("l_shipdate").alias("ds"), F.lit(1.0).alias("y"))
     return broken_grids(df, R, Freq.of("D"))
 
 

@@ -71,7 +71,7 @@ def load(spark, path: str) -> Any:
     plan.transforms = transforms
     for k, v in found["plan"].items():
         setattr(plan, k, v)
-    plan.original = plan.history = spark.read.parquet(f"{path}/history")
+    plan.original = plan.history = panel.source = spark.read.parquet(f"{path}/history")
     for t in transforms:
         plan.history = t.update(plan.history)
     panel.steps, panel.fitted = found["steps"], {}

@@ -178,17 +178,44 @@ def test_intervals(spark, daily):
         iv.PredictionIntervals(1)
 
 
-def test_transfer(spark, daily):
+def test_transfer(spark, daily, tmp_path):
     df = daily.drop("static_0")
     panel = naive().fit(df, prediction_intervals=iv.PredictionIntervals(2, 3))
-    panel.source, panel.source_frame = df, panel.preprocess(df)
     new = df.withColumn("unique_id", F.concat(F.lit("new_"), "unique_id")).withColumn("y", F.col("y") * 10)
+    before = values(panel.predict(3), "naive")
     for method in iv.TRANSFER_METHODS:
-        own = naive()
-        own.fitted, own.steps, own.scores, own.intervals, own.plan = panel.fitted, None, panel.scores, panel.intervals, panel.plan
-        own.source, own.source_frame = panel.source, panel.source_frame
-        out = own.predict(3, new_df=new, level=[80], transfer=iv.TransferConformal(method, cv=2)).toPandas()
-        assert len(out) == 12 and (out["naive-lo-80"].fillna(-1e9) <= out["naive-hi-80"].fillna(1e9)).all(), method
+        out = panel.predict(3, new_df=new, level=[80], transfer=iv.TransferConformal(method, cv=2)).toPandas()
+        assert len(out) == 12 and out.unique_id.str.startswith("new_").all()
+        assert (out["naive-lo-80"].fillna(-1e9) <= out["naive-hi-80"].fillna(1e9)).all(), method
+    # Errors are those of the source, ten times as large as the series.
+    wide = panel.predict(3, new_df=new, level=[80], transfer=iv.TransferConformal("scale_aligned")).toPandas()
+    own = panel.predict(3, level=[80]).toPandas()
+    ratio = (wide["naive-hi-80"] - wide["naive"]).mean() / (own["naive-hi-80"] - own["naive"]).mean()
+    assert 3 < ratio < 30
+    np.testing.assert_allclose(values(panel.predict(3), "naive"), before)
+    panel.save(f"file://{tmp_path}/m")
+    again = Panel.load(spark, f"file://{tmp_path}/m").predict(3, new_df=new, level=[80], transfer=iv.TransferConformal("scale_aligned")).toPandas()
+    columns = ["naive-lo-80", "naive-hi-80"]
+    np.testing.assert_allclose(again.sort_values(["unique_id", "ds"])[columns], wide.sort_values(["unique_id", "ds"])[columns])
+
+
+def test_rejected_new_rows_leave_the_panel_usable(spark, daily):
+    panel = naive().fit(daily.drop("static_0"))
+    before = values(panel.predict(2), "naive")
+    with pytest.raises(ValueError):
+        panel.predict(2, new_df=daily.drop("static_0", "y"))
+    np.testing.assert_allclose(values(panel.predict(2), "naive"), before)
+
+
+def test_season_candidates():
+    from panelloom.operators.tuning import season_candidates, spread_lags
+
+    assert spread_lags(12) == list(range(1, 13)) and spread_lags(24)[-1] == 24 and len(spread_lags(168)) <= 12 and spread_lags(1) == [1]
+    found = season_candidates(12, 30, 100, 1.0)
+    assert [12, 24, 36] in found["lags"] and found["date_features"] == [None, ["month", "year"]]
+    assert {lag for t in found["lag_transforms"] if t for lag in t} == {1, 12, 30}
+    assert len(found["target_transforms"]) == 7 and len(season_candidates(12, 3, 20, -1.0)["target_transforms"]) == 3
+    assert season_candidates(1, 3, 20, 0.0)["lag_transforms"][2:] == []
 
 
 def test_weighted_quantile(spark):
