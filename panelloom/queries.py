@@ -466,6 +466,77 @@ def events(spark, sf_dir):
     return df.select("unique_id", "ds", F.round("y", 4).alias("y"), F.round("lag24", 4).alias("lag24"), F.hour("ds").cast("int").alias("hour"))
 
 
+_SHIFTED = P1 + ", r AS (SELECT unique_id, ds, y * 10 AS y, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) AS b, 10 * lag(y, 12) OVER (PARTITION BY unique_id ORDER BY ds) AS naive FROM p)"
+
+
+def _moved(spark, sf_dir, transfer: iv.TransferConformal):
+    """Intervals for new series, ten times the known ones."""
+    df = _monthly(spark, sf_dir)
+    panel = _naive().fit(df, prediction_intervals=iv.PredictionIntervals(3, 6, "conformal_error"))
+    new = df.withColumn("unique_id", F.concat(F.lit("new_"), "unique_id")).withColumn("y", F.col("y") * 10)
+    return shown(panel.predict(6, new_df=new, level=[80], transfer=transfer), {"naive": "naive", "naive-lo-80": "lo80", "naive-hi-80": "hi80"})
+
+
+@query("transfer_recalibrate", _SHIFTED + """, e AS (SELECT CAST(a + 7 - b AS INT) AS step, y - naive AS e FROM r JOIN (VALUES (0), (1)) t(a) ON b > a AND b <= a + 6),
+s AS (SELECT step, quantile_cont(e, 0.1) AS lo, quantile_cont(e, 0.9) AS hi FROM e GROUP BY step), f AS (SELECT unique_id, CAST(ds + INTERVAL 1 YEAR AS DATE) AS ds, y AS naive, 13 - b AS step FROM r WHERE b BETWEEN 7 AND 12)
+SELECT 'new_' || f.unique_id AS unique_id, f.ds, round(naive, 4) AS naive, round(naive + lo, 4) AS lo80, round(naive + hi, 4) AS hi80 FROM f JOIN s USING (step)""")
+def transfer_recalibrate(spark, sf_dir):
+    return _moved(spark, sf_dir, iv.TransferConformal("recalibrate", n_windows=2))
+
+
+@query("transfer_scale_aligned", _CV + _DELTA + """, dm AS (SELECT *, median(d) OVER (PARTITION BY unique_id) AS m FROM d), sc AS (SELECT unique_id, median(abs(d - m)) AS s FROM dm GROUP BY unique_id),
+g AS (SELECT unique_id, greatest(s, (SELECT greatest(median(s) * 0.001, 1e-8) FROM sc)) AS scale FROM sc), wd AS (SELECT step, quantile_cont(abs(y - naive) / scale, 0.8) AS w80 FROM c JOIN g USING (unique_id) GROUP BY step)""" + _LAST + """
+SELECT 'new_' || f.unique_id AS unique_id, f.ds, round(10 * naive, 4) AS naive, round(10 * naive - w80 * 10 * scale, 4) AS lo80, round(10 * naive + w80 * 10 * scale, 4) AS hi80 FROM f JOIN wd USING (step) JOIN g USING (unique_id)""")
+def transfer_scale_aligned(spark, sf_dir):
+    return _moved(spark, sf_dir, iv.TransferConformal("scale_aligned"))
+
+
+@query("fitted_scaled", ORACLES["fitted_values"])
+def fitted_scaled(spark, sf_dir):
+    panel = _naive(target_transforms=[tt.LocalStandardScaler()])
+    return shown(panel.fit(_monthly(spark, sf_dir), fitted=True).forecast_fitted_values(), {"y": "y", "naive": "naive"})
+
+
+@query("fitted_differences", P1 + ", r AS (SELECT *, lag(y, 1) OVER w + lag(y, 12) OVER w - lag(y, 13) OVER w AS naive FROM p WINDOW w AS (PARTITION BY unique_id ORDER BY ds))\nSELECT unique_id, ds, round(y, 4) AS y, round(naive, 4) AS naive FROM r WHERE naive IS NOT NULL")
+def fitted_differences(spark, sf_dir):
+    panel = _naive(target_transforms=[tt.Differences([1])])
+    return shown(panel.fit(_monthly(spark, sf_dir), fitted=True).forecast_fitted_values(), {"y": "y", "naive": "naive"})
+
+
+_NEXT = P1 + ", l AS (SELECT p.*, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) AS b FROM p)\nSELECT unique_id, CAST(ds + INTERVAL 1 YEAR AS DATE) AS ds, round(y, 4) AS naive FROM l WHERE b BETWEEN 7 AND 12"
+
+
+@query("predict_ids", _NEXT + " AND unique_id = (SELECT min(unique_id) FROM p)")
+def predict_ids(spark, sf_dir):
+    df = _monthly(spark, sf_dir)
+    return shown(_naive().fit(df).predict(6, ids=[df.agg(F.min("unique_id")).first()[0]]), {"naive": "naive"})
+
+
+@query("save_load", _NEXT)
+def save_load(spark, sf_dir):
+    import uuid
+
+    from .plans.engine import Panel
+    from .plans.lineage import cut
+
+    panel = _naive().fit(cut(_monthly(spark, sf_dir)))
+    path = f"{spark.sparkContext.getCheckpointDir()}/panel-{uuid.uuid4().hex}"
+    panel.save(path)
+    return shown(Panel.load(spark, path).predict(6), {"naive": "naive"})
+
+
+@query("predict_new_series", _NEXT.replace("unique_id, CAST", "'new_' || unique_id AS unique_id, CAST"))
+def predict_new_series(spark, sf_dir):
+    df = _monthly(spark, sf_dir)
+    return shown(_naive().fit(df).predict(6, new_df=df.withColumn("unique_id", F.concat(F.lit("new_"), "unique_id"))), {"naive": "naive"})
+
+
+@query("update_sizes", P1 + "SELECT unique_id, count(*) AS n, max(ds) AS last FROM p GROUP BY unique_id")
+def update_sizes(spark, sf_dir):
+    ends = _naive().fit(_monthly(spark, sf_dir)).plan.history.groupBy("unique_id").agg(F.count(F.lit(1)).alias("n"), F.max("ds").alias("last"))
+    return ends
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
