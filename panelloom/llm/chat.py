@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import P, text_of
 
 #: How a turn is written: before its role, between role and text, and after the text.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
+#: Bits of a number that partners may differ in: those without one among the numbers that share the rest try the next.
+REACHES = (16, 32, 48, 64)
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -71,12 +73,30 @@ def format_preferences(turns: DataFrame, pair_col: str = "pair_id") -> DataFrame
     )
 
 
+def partnered(numbers: DataFrame, col: str) -> DataFrame:
+    """numbers (distinct long, not null) with partner: another of them, null only where there is no other.
+
+    In each range of 2**16 numbers the next one is the partner, and the first one that of the last. A number that is alone in its
+    range looks among those that are alone in theirs within 2**32, and so on, so no task orders more than 65,536 of them.
+    """
+    out = numbers.withColumn("partner", F.lit(None).cast("long"))
+    for bits in REACHES:
+        alone = F.col("partner").isNull()
+        reach = F.shiftright(F.col(col), bits) if bits < 64 else F.lit(0).cast("long")
+        out = out.withColumn(f"{P}alone", alone).withColumn(f"{P}range", F.when(alone, reach).otherwise(F.col(col)))
+        group = Window.partitionBy(f"{P}alone", f"{P}range")
+        first = F.min(col).over(group)
+        following = F.coalesce(F.lead(col).over(group.orderBy(col)), F.when(first != F.col(col), first))
+        out = out.withColumn("partner", F.when(alone, following).otherwise(F.col("partner"))).drop(f"{P}alone", f"{P}range")
+    return out
+
+
 def swapped_answers(conversations: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """Turns of preference pairs from plain conversations: pair_id, chosen, turn, role, text.
 
     A conversation up to its last assistant turn is chosen; rejected is the same with that answer replaced by the last answer of
-    its partner, the conversation whose number differs in the lowest bit. Conversations without an answer, without a
-    partner that has one, and null ids give no pair.
+    its partner, the next answered conversation by number. Conversations without an answer and null ids give no pair, nor does
+    one that alone is answered.
     """
     t = conversations.select(
         F.col(conv_col).cast("long").alias("pair_id"), F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), text_of("role").alias("role"), text_of("text").alias("text")
@@ -86,8 +106,9 @@ def swapped_answers(conversations: DataFrame, conv_col: str = "conv_id") -> Data
         .groupBy("pair_id")
         .agg(F.max("turn").alias("last"), F.max_by("text", F.struct("turn", "text")).alias("answer"))
     )
-    other = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("answer").alias("other"))
-    both = last.join(other, "pair_id")
+    partners = partnered(last.select("pair_id"), "pair_id").filter("partner is not null")
+    other = last.select(F.col("pair_id").alias("partner"), F.col("answer").alias("other"))
+    both = last.join(partners, "pair_id").join(other, "partner").drop("partner")
     own = t.join(both, "pair_id").filter(F.col("turn") <= F.col("last"))
     chosen = own.select("pair_id", F.lit(True).alias("chosen"), "turn", "role", "text")
     answer = F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.col("other")).otherwise(F.col("text"))
@@ -95,4 +116,4 @@ def swapped_answers(conversations: DataFrame, conv_col: str = "conv_id") -> Data
     return chosen.unionByName(rejected)
 
 
-__all__ = ["format_preferences", "rendered", "swapped_answers"]
+__all__ = ["format_preferences", "partnered", "rendered", "swapped_answers"]

@@ -121,7 +121,9 @@ FROM placed
 _CHAT_SQL = r"""
 WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 last AS (SELECT conv_id, max(turn) AS last, arg_max(text, (turn, text)) AS answer FROM t WHERE role = 'assistant' GROUP BY conv_id),
-duo AS (SELECT a.conv_id, a.last, b.answer AS other FROM last a JOIN last b ON b.conv_id = xor(a.conv_id, 1)),
+p0 AS (SELECT conv_id, CAST(NULL AS BIGINT) AS partner FROM last),
+PARTNERS
+duo AS (SELECT a.conv_id, a.last, b.answer AS other FROM last a JOIN pEND p ON a.conv_id = p.conv_id JOIN last b ON b.conv_id = p.partner),
 own AS (
   SELECT t.conv_id, t.turn, t.role, t.text AS c, CASE WHEN t.turn = d.last AND t.role = 'assistant' THEN d.other ELSE t.text END AS r
   FROM t JOIN duo d ON t.conv_id = d.conv_id WHERE t.turn <= d.last),
@@ -144,6 +146,19 @@ FROM sums GROUP BY conv_id
 """
 
 
+def _chat_sql() -> str:
+    """Partners within ever wider ranges of numbers, as chat.partnered finds them."""
+    steps = []
+    for i, bits in enumerate(chat.REACHES):
+        reach = f"conv_id >> {bits}" if bits < 64 else "0"
+        group = f"PARTITION BY partner IS NULL, CASE WHEN partner IS NULL THEN {reach} ELSE conv_id END"
+        steps.append(
+            f"p{i + 1} AS (SELECT conv_id, CASE WHEN partner IS NULL THEN coalesce(lead(conv_id) OVER ({group} ORDER BY conv_id), "
+            f"nullif(min(conv_id) OVER ({group}), conv_id)) ELSE partner END AS partner FROM p{i}),"
+        )
+    return _CHAT_SQL.replace("PARTNERS", "\n".join(steps)).replace("pEND", f"p{len(chat.REACHES)}")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": """
@@ -159,5 +174,5 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
         "op7_mixing": _MIX_SQL.replace("OFFSET_OF_SEED", repr(mixing.random_offset(0))),
-        "op10_chat": _CHAT_SQL,
+        "op10_chat": _chat_sql(),
     }

@@ -154,11 +154,22 @@ def test_swapped_answers(spark):
     for c, t, role, text in rows:
         by.setdefault(c, []).append((role, text))
     answers = {c: [x for r, x in own if r == "assistant"] for c, own in by.items()}
-    want = {c for c in by if answers[c] and answers.get(c ^ 1)}
+    answered = sorted(c for c in by if answers[c])
+    partner = dict(zip(answered, [*answered[1:], answered[0]], strict=True))
+    want = set(answered)
     assert set(got) == want
     for c in want:
         own = by[c][: max(i for i, (r, _) in enumerate(by[c]) if r == "assistant") + 1]
-        other = [*own[:-1], ("assistant", answers[c ^ 1][-1])]
+        other = [*own[:-1], ("assistant", answers[partner[c]][-1])]
         shared = len(own) if own == other else len(own) - 1
         assert got[c]["n_prompt_turns"] == shared
         assert got[c]["rejected"] == "".join(f"<|{r}|>\n{x}<|end|>\n" for r, x in other[shared:])
+
+
+def test_partners_of_far_numbers(spark):
+    numbers = [5, 6, 70_000, 1 << 20, (1 << 33) + 1, (1 << 50) + 2, -7]
+    got = {r["n"]: r["partner"] for r in chat.partnered(spark.createDataFrame([(n,) for n in numbers], "n long"), "n").collect()}
+    assert set(got) == set(numbers) and all(p in got and p != n for n, p in got.items())
+    assert got[5] == 6 and got[6] == 5 and got[70_000] == 1 << 20
+    one = spark.createDataFrame([(3,)], "n long")
+    assert [r["partner"] for r in chat.partnered(one, "n").collect()] == [None] and chat.partnered(one.limit(0), "n").count() == 0
