@@ -14,7 +14,7 @@ SALTS = 1024
 
 
 def word_count(text_col: str):
-    return F.regexp_count(text_of(text_col), F.lit(WORD_PATTERN)).cast("long")
+    return F.coalesce(F.regexp_count(text_of(text_col), F.lit(WORD_PATTERN)).cast("long"), F.lit(0).cast("long"))
 
 
 def random_offset(seed: int) -> float:
@@ -22,8 +22,8 @@ def random_offset(seed: int) -> float:
     return random.Random(seed).getrandbits(16) / 65536
 
 
-def source_targets(blocks: DataFrame, source_col: str, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
-    """Source, its size and target: one row per source.
+def source_targets(sources: DataFrame, source_col: str, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """Source and target from the size of each source: one row per source.
 
     Sources in code point order (null last) take the weights in turn. Targets are in proportion to the weights, and
     what a target would hold over `most` times its source's size is shared out again by weight: each target is
@@ -35,8 +35,7 @@ def source_targets(blocks: DataFrame, source_col: str, weights: tuple[int, ...],
     every = Window.partitionBy()
     turn = (F.row_number().over(at) - 1) % len(weights)
     weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (turn + 1).cast("int")).cast("double")
-    sources = blocks.groupBy(source_col).agg(F.sum(f"{P}words").cast("long").alias(f"{P}source_size")).withColumn(f"{P}weight", weight)
-    sources = sources.withColumn(f"{P}cap", most * F.col(f"{P}source_size")).withColumn(
+    sources = sources.withColumn(f"{P}weight", weight).withColumn(f"{P}cap", most * F.col(f"{P}source_size")).withColumn(
         f"{P}ratio", F.col(f"{P}cap") / F.col(f"{P}weight")
     )
     wanted = share * F.sum(f"{P}source_size").over(every)
@@ -48,7 +47,6 @@ def source_targets(blocks: DataFrame, source_col: str, weights: tuple[int, ...],
     open_level = F.max(F.when(F.col(f"{P}level") <= F.col(f"{P}ratio"), F.col(f"{P}level"))).over(every)
     return sources.select(
         F.col(source_col).alias(f"{P}source"),
-        f"{P}source_size",
         F.least(F.col(f"{P}cap"), F.coalesce(open_level * F.col(f"{P}weight"), F.col(f"{P}cap"))).alias(f"{P}target"),
     )
 
@@ -75,10 +73,11 @@ def mix(
     new = [f"{prefix}{c}" for c in ("size", "source_size", "target", "copies", "taken")]
     sized = docs.drop(*(c for c in new if c not in (id_col, text_col, source_col))).withColumn(f"{P}size", word_count(text_col))
     bits = F.length(F.bin(f"{P}size"))
-    spread = sized.withColumn(
-        f"{P}range",
-        (bits * 16 + F.floor(F.col(f"{P}size") / F.pow(F.lit(2.0), F.greatest(bits - 4, F.lit(0))))).cast("long"),
-    ).withColumn(f"{P}salt", F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(SALTS)).cast("int"))
+    # Never null, so that the join below asks no filter that counts the words again.
+    size_range = bits * 16 + F.floor(F.col(f"{P}size") / F.pow(F.lit(2.0), F.greatest(bits - 4, F.lit(0))))
+    spread = sized.withColumn(f"{P}range", F.coalesce(size_range.cast("long"), F.lit(0).cast("long"))).withColumn(
+        f"{P}salt", F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(SALTS)).cast("int")
+    )
     block = [source_col, f"{P}range", f"{P}salt"]
     in_block = Window.partitionBy(*block).orderBy(f"{P}size", F.col(id_col).asc_nulls_first())
     numbered = spread.withColumn(f"{P}nth", F.row_number().over(in_block))
@@ -89,8 +88,11 @@ def mix(
     starts = counts.select(
         F.col(source_col).alias(f"{P}s"), F.col(f"{P}range").alias(f"{P}r"), F.col(f"{P}salt").alias(f"{P}t"),
         F.coalesce(F.sum(f"{P}count").over(ahead), F.lit(0)).alias(f"{P}start"),
+        F.sum(f"{P}words").over(Window.partitionBy(source_col)).cast("long").alias(f"{P}source_size"),
     )
-    targets = source_targets(counts.select(source_col, f"{P}words"), source_col, weights, share, most)
+    # The first block of a source stands for it: its sizes come from the same scan and exchanges as the starts.
+    sources = starts.filter(F.col(f"{P}start") == 0).select(f"{P}s", f"{P}source_size")
+    targets = source_targets(sources, f"{P}s", weights, share, most)
     starts = starts.join(targets, F.col(f"{P}s").eqNullSafe(F.col(f"{P}source")))
     placed = numbered.join(
         starts,
