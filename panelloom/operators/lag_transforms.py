@@ -47,7 +47,11 @@ class Scope:
 
 @dataclass(frozen=True)
 class LagTransform:
-    """Base of all. kind: which rows a window takes; stat: what it makes of them."""
+    """Base of all. kind: which rows a window takes; stat: what it makes of them.
+
+    A transform of one's own is a frozen dataclass of kind "column" with column(y, lag, by_id): an expression over the window of a
+    series, ordered by time; samples tells how many rows it needs.
+    """
 
     kind = ""
     stat = ""

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import copy
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,6 +140,45 @@ class GlobalFunction(TargetTransform):
         return pred.withColumns({c: self.backward(q(c)) for c in columns})
 
 
+class GlobalFitted(TargetTransform):
+    """One transformer for all series, with fit, transform and inverse_transform over arrays of one column.
+
+    It is fitted on the driver, on all values or not at all: more than most_rows are an error.
+    """
+
+    def __init__(self, transformer: Any, most_rows: int = 1_000_000):
+        self.transformer, self.most_rows = transformer, most_rows
+
+    def fit_transform(self, df: DataFrame, roles: Roles) -> DataFrame:
+        self.roles = roles
+        y = q(roles.target).cast("double")
+        values = df.select(y.alias("y")).filter("y is not null and not isnan(y)").limit(self.most_rows + 1).toPandas()
+        if len(values) > self.most_rows:
+            raise ValueError(f"more than {self.most_rows} values to fit one transformer on")
+        fitted = copy.deepcopy(self.transformer)
+        self.fitted = fitted.fit(values.to_numpy()) or fitted
+        return self.update(df)
+
+    def _map(self, df: DataFrame, columns: list[str], method: str) -> DataFrame:
+        apply = getattr(self.fitted, method)
+
+        @F.pandas_udf("double")
+        def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                out, known = np.full(len(batch), np.nan), batch.notna().to_numpy()
+                if known.any():
+                    out[known] = np.asarray(apply(batch.to_numpy(float)[known][:, None]), float)[:, 0]
+                yield pd.Series(out).where(known)
+
+        return df.withColumns({c: mapped(q(c).cast("double")) for c in columns})
+
+    def update(self, history: DataFrame) -> DataFrame:
+        return self._map(history, [self.roles.target], "transform")
+
+    def inverse(self, pred: DataFrame, columns: list[str]) -> DataFrame:
+        return self._map(pred, columns, "inverse_transform")
+
+
 class Differences(TargetTransform):
     """y less y of d steps before, for each d in turn. The first sum(d) values of a series become null."""
 
@@ -289,7 +329,7 @@ def _per_series(df: DataFrame, roles: Roles, fn: Callable[[np.ndarray], list[flo
 def fresh(transform: Any) -> Any:
     """The same transform without what it learnt."""
     out = copy.copy(transform)
-    for name in ("state", "stages", "roles"):
+    for name in ("state", "stages", "roles", "fitted"):
         out.__dict__.pop(name, None)
     return out
 

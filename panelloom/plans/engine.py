@@ -9,14 +9,14 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import DateFeature, date_dummies, date_feature, feature_name
 from ..functions.freq import Freq
 from ..operators.lag_transforms import Custom, Lag, LagTransform, Scope, as_transform, keep_last
-from ..operators.models import Fitted, fit_model, name_models
+from ..operators.models import FeatureModel, Fitted, fit_model, name_models
 from ..operators.targets import apply_all, fresh, undo_all
 from . import validate as checks
 from .features import Features, Roles, add_lag_features, q
@@ -189,6 +189,11 @@ class Plan:
         return out
 
 
+def is_missing(df: DataFrame, name: str) -> Column:
+    """Whether a value is null or NaN."""
+    return q(name).isNull() | F.isnan(q(name)) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else q(name).isNull()
+
+
 class Panel:
     """Facade over a plan and its models: preprocess, fit, predict, cross_validation and the rest."""
 
@@ -227,11 +232,14 @@ class Panel:
         self.plan.prepare(df, **options)
         return self
 
-    def fit_models(self, frame: DataFrame, steps: list[int] | None = None, horizon_features: dict[int, list[str]] | None = None) -> Panel:
-        r, inputs = self.roles, self.plan.inputs
+    def fit_models(self, frame: DataFrame, steps: list[int] | None = None, horizon_features: dict[int, list[str]] | None = None, params: dict[str, dict] | None = None) -> Panel:
+        """params: for models by name, Spark params or arguments of their fit that hold for this fit only."""
+        r, inputs, params = self.roles, self.plan.inputs, params or {}
+        if unknown := set(params) - set(self.models):
+            raise ValueError(f"not models of the panel: {', '.join(sorted(unknown))}")
         self.steps = steps
         if steps is None:
-            self.fitted = {n: fit_model(m, frame, inputs, r.target, self.plan.weight) for n, m in self.models.items()}
+            self.fitted = {n: fit_model(m, frame, inputs, r.target, self.plan.weight, params.get(n)) for n, m in self.models.items()}
             return self
         self.fitted = {}
         for name, model in self.models.items():
@@ -242,7 +250,7 @@ class Panel:
                 for c in self.plan.dynamics:
                     if c in wanted:
                         rows = rows.filter(q(c).isNotNull())
-                own[h] = fit_model(model, rows, wanted, f"{r.target}{h - 1}", self.plan.weight)
+                own[h] = fit_model(model, rows, wanted, f"{r.target}{h - 1}", self.plan.weight, params.get(name))
             self.fitted[name] = own
         return self
 
@@ -259,6 +267,7 @@ class Panel:
     def fit(
         self, df: DataFrame, static_features=None, dropna=True, keep_last_n=None, max_horizon=None, horizons=None, prediction_intervals=None,
         fitted=False, weight_col=None, validate=True, drop_auxiliary_columns=True, horizon_features=None, horizon_feature_templates=None,
+        models_fit_kwargs=None,
     ) -> Panel:
         steps = horizons_of(max_horizon, horizons)
         options = dict(static_features=static_features, dropna=dropna, max_horizon=max_horizon, horizons=horizons, weight_col=weight_col)
@@ -271,7 +280,7 @@ class Panel:
         if horizon_feature_templates:
             horizon_features = self._routed(horizon_feature_templates, steps)
         self.horizon_features = horizon_features
-        self.fit_models(frame, steps, horizon_features)
+        self.fit_models(frame, steps, horizon_features, models_fit_kwargs)
         self.source = self.plan.original
         self.frame = frame if fitted else None
         self.source_rows = self.plan.transformed if fitted else None
@@ -352,6 +361,12 @@ class Panel:
             warnings.warn(f"static columns of X_df are ignored: {', '.join(again)}", stacklevel=3)
         given = X_df.select(q(r.id), q(r.time), *(q(c) for c in needed), F.lit(1).alias("__given"))
         out = grid.join(given, [r.id, r.time], "left")
+        counts = out.groupBy(q(r.id)).agg(F.count("__given").alias("n"), F.count(F.lit(1)).alias("all"))
+        least, found, asked = counts.agg(F.min("n"), F.sum("n"), F.sum("all")).first()
+        if least == 0:
+            raise ValueError("X_df needs at least one future row for each id; get_missing_future tells which it lacks")
+        if found is not None and found < asked:
+            warnings.warn(f"X_df has {found} of {asked} future rows; missing steps go on with the last row that is there", stacklevel=4)
         # Steps that X_df lacks go on with the last that it has.
         past = Window.partitionBy(q(r.id)).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
         last = F.last(F.when(F.col("__given").isNotNull(), F.struct(*(q(c) for c in needed))), ignorenulls=True).over(past)
@@ -360,9 +375,23 @@ class Panel:
 
     def _recursive(self, h, future, before, after) -> DataFrame:
         fast = self.plan.is_local and before is None and after is None and all(f.row_function() for f in self.fitted.values())
-        fast = fast and not any(isinstance(t, Custom) for t, _ in self.plan.features.values())
+        parts = [part for t, lag in self.plan.features.values() for part, _ in t.parts(lag)]
+        fast = fast and not any(isinstance(t, Custom) or t.kind == "column" for t in parts)
         return self._in_one_pass(h, future) if fast else self._step_by_step(h, future, before, after)
 
+    def null_inputs(self, X_df: DataFrame | None = None) -> dict[str, int]:
+        """Inputs that the first step lacks, with the number of series; predict itself tells of them only where it goes step by step."""
+        r, plan = self.roles, self.plan
+        asked = self._future(1, X_df, None).withColumn(r.target, F.lit(None).cast("double"))
+        history = plan.bounded().withColumn("step", F.lit(0)).withColumn(r.target, q(r.target).cast("double"))
+        frame = add_lag_features(history.unionByName(asked, allowMissingColumns=True), r, plan.features).filter(F.col("step") == 1)
+        frame = plan.with_dates(frame)
+        inputs = [c for c in plan.inputs if c in frame.columns]
+        if not inputs:
+            return {}
+        found = frame.agg(*(F.count_if(is_missing(frame, c)).alias(f"n{i}") for i, c in enumerate(inputs))).first()
+        return {c: found[i] for i, c in enumerate(inputs) if found[i]}
+
     def _in_one_pass(self, h: int, future: DataFrame) -> DataFrame:
         """Local features and models of a row: each series rolls forward by itself, in one job over one exchange."""
         r, plan = self.roles, self.plan
@@ -413,10 +442,16 @@ class Panel:
                 frame = plan.with_dates(frame)
                 if before is not None:
                     frame = before(frame)
+                # Nulls of the inputs are counted by the job that computes the step.
+                inputs = [c for c in (model.features if not isinstance(model.model, FeatureModel) else [model.model.feature]) if c in frame.columns]
+                seen = Observation()
+                frame = frame.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(is_missing(frame, c)).alias(f"n{i}") for i, c in enumerate(inputs)))
                 scored = model.predict(frame, name)
                 if after is not None:
                     scored = after(scored)
                 scored = cut(scored.withColumn(r.target, q(name)).select(*(q(c) for c in names), q(name)))
+                if null := [c for i, c in enumerate(inputs) if seen.get[f"n{i}"]]:
+                    warnings.warn(f"inputs of {name} are null at step {step}: {', '.join(null)}", stacklevel=5)
                 history = history.unionByName(scored.select(*(q(c) for c in names)))
                 own = scored.select(q(r.id), q(r.time), "step", q(name))
                 found = own if found is None else found.unionByName(own)

@@ -111,6 +111,8 @@ def _local(df: DataFrame, roles: Roles, parts: Features) -> DataFrame:
     for name, (tfm, lag) in parts.items():
         if tfm.kind == "lag":
             made[name] = F.lag(y, lag).over(by_id)
+        elif tfm.kind == "column":
+            made[name] = tfm.column(y, lag, by_id)
         elif tfm.kind == "rolling":
             made[name] = _row_stat(tfm, y, by_id.rowsBetween(-(lag + tfm.window_size - 1), -lag))
         elif tfm.kind == "expanding":

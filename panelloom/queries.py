@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import operator
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import intervals as iv
 from .operators import lag_transforms as lt
 from .operators import targets as tt
+from .operators.callbacks import SaveFeatures
 from .operators.exog import transform_exog
 from .operators.metrics import mape, rmse, smape
 from .operators.models import FeatureModel
@@ -537,6 +539,122 @@ def update_sizes(spark, sf_dir):
     return ends
 
 
+@dataclass(frozen=True)
+class Momentum(lt.LagTransform):
+    """The value less that of some steps before."""
+
+    over: int = 3
+    kind = "column"
+
+    def column(self, y, lag, by_id):
+        return F.lag(y, lag).over(by_id) - F.lag(y, lag + self.over).over(by_id)
+
+    def samples(self, lag):
+        return lag + self.over
+
+
+features_query("own_transform", [(1, Momentum()), (2, Momentum(12))], ["m3", "m12"], local_sql({
+    f"m{n}": f"round(lag(y, {lag}) OVER (PARTITION BY unique_id ORDER BY ds) - lag(y, {lag + n}) OVER (PARTITION BY unique_id ORDER BY ds), 4)" for lag, n in ((1, 3), (2, 12))}))
+
+
+@query("predict_own_transform", P1 + """, r AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) AS b FROM p)
+SELECT x.unique_id, CAST(x.ds + INTERVAL 1 MONTH AS DATE) AS ds, round(x.y - z.y, 4) AS momentum FROM r x JOIN r z ON z.unique_id = x.unique_id AND x.b = 1 AND z.b = 4""")
+def predict_own_transform(spark, sf_dir):
+    panel = Panel({"momentum": FeatureModel("momentum_lag1")}, "MS", lag_transforms={1: [Momentum()]})
+    return shown(panel.fit(_monthly(spark, sf_dir)).predict(1), {"momentum": "momentum"})
+
+
+@query("pooled_null_keys", P1 + """, k AS (SELECT unique_id, ds, y, CASE WHEN region <> 'ASIA' THEN region END AS region FROM p), a AS (SELECT region, ds, sum(y) AS s, count(y) AS n FROM k GROUP BY ALL),
+w AS (SELECT region, ds, sum(s) OVER x / sum(n) OVER x AS mean, sum(n) OVER x AS n FROM a WINDOW x AS (PARTITION BY region ORDER BY ds ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
+SELECT k.unique_id, k.ds, round(CASE WHEN n >= 3 THEN mean END, 4) AS mean FROM k JOIN w ON k.region IS NOT DISTINCT FROM w.region AND k.ds = w.ds""")
+def pooled_null_keys(spark, sf_dir):
+    df = panels.nation_monthly(spark, sf_dir).withColumn("region", F.when(F.col("region") != "ASIA", F.col("region")))
+    return shown(add_lag_features(df, R, {"mean": (lt.RollingMean(3, groupby="region"), 1)}), {"mean": "mean"})
+
+
+def since_1990(time):
+    """Years since 1990."""
+    return F.year(time) - F.lit(1990)
+
+
+@query("names_and_functions", P1 + "SELECT unique_id, ds, round(lag(y) OVER (PARTITION BY unique_id ORDER BY ds), 4) AS lag_of_1, CAST(year(ds) - 1990 AS INT) AS since_1990 FROM p QUALIFY lag_of_1 IS NOT NULL")
+def names_and_functions(spark, sf_dir):
+    panel = Panel([], "MS", lags=[1], date_features=[since_1990], lag_namer=lambda t, n: f"{type(t).__name__.lower()}_of_{n}")
+    return panel.preprocess(_monthly(spark, sf_dir)).select("unique_id", "ds", F.round("lag_of_1", 4).alias("lag_of_1"), "since_1990")
+
+
+@query("saved_features", P1 + _FUTURE.format(h=3) + """, r AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) AS b FROM p)
+SELECT f.unique_id, f.ds, CAST(f.s AS INT) AS step, round(r.y, 4) AS lag12 FROM f JOIN r ON r.unique_id = f.unique_id AND r.b = 13 - f.s""")
+def saved_features(spark, sf_dir):
+    seen = SaveFeatures()
+    _naive().fit(_monthly(spark, sf_dir)).predict(3, before_predict_callback=seen)
+    return seen.get_features(with_step=True).select("unique_id", "ds", "step", F.round("lag12", 4).alias("lag12"))
+
+
+@query("predict_warmed_up", _NEXT)
+def predict_warmed_up(spark, sf_dir):
+    """Models of one panel on the state of another that was never fitted."""
+    df = _monthly(spark, sf_dir)
+    panel = _naive().history_warmup(df)
+    panel.fitted = _naive().fit(df).fitted
+    return shown(panel.predict(6), {"naive": "naive"})
+
+
+@query("predict_direct_exog", P1 + _FUTURE.format(h=3) + "SELECT unique_id, ds, CAST(month(ds) IN (11, 12) AS DOUBLE) AS promo FROM f")
+def predict_direct_exog(spark, sf_dir):
+    panel = Panel({"promo": FeatureModel("promo")}, "MS", lags=[1])
+    panel.fit(panels.nation_monthly(spark, sf_dir).drop("region"), static_features=[], max_horizon=3)
+    future = panel.make_future_dataframe(3).withColumn("promo", F.month("ds").isin(11, 12).cast("int"))
+    return shown(panel.predict(3, X_df=future), {"promo": "promo"})
+
+
+@query("predict_pooled_mean", P1 + _FUTURE.format(h=2) + """, a AS (SELECT region, ds, avg(y) AS a, row_number() OVER (PARTITION BY region ORDER BY ds DESC) AS b FROM p GROUP BY region, ds),
+m AS (SELECT region, avg(a) FILTER (WHERE b <= 3) AS m1, sum(a) FILTER (WHERE b <= 2) AS s FROM a GROUP BY region), i AS (SELECT DISTINCT unique_id, region FROM p)
+SELECT f.unique_id, f.ds, round(CASE WHEN f.s = 1 THEN m1 ELSE (m.s + m1) / 3 END, 4) AS mean FROM f JOIN i USING (unique_id) JOIN m USING (region)""")
+def predict_pooled_mean(spark, sf_dir):
+    panel = Panel({"mean": FeatureModel("groupby_region_rolling_mean_lag1_window_size3")}, "MS", lag_transforms={1: [lt.RollingMean(3, groupby="region")]})
+    panel.fit(panels.nation_monthly(spark, sf_dir).drop("promo"), static_features=["region"])
+    return shown(panel.predict(2), {"mean": "mean"})
+
+
+@query("fitted_two_ahead", P1 + ", r AS (SELECT *, lag(y, 2) OVER (PARTITION BY unique_id ORDER BY ds) AS last FROM p)\nSELECT unique_id, ds, round(y, 4) AS y, round(last, 4) AS last FROM r WHERE last IS NOT NULL")
+def fitted_two_ahead(spark, sf_dir):
+    panel = Panel({"last": FeatureModel("lag1")}, "MS", lags=[1]).fit(_monthly(spark, sf_dir), fitted=True)
+    return shown(panel.forecast_fitted_values(h=2), {"y": "y", "last": "last"})
+
+
+@query("fitted_inverse_auto", P1 + "SELECT unique_id, ds, round(y, 4) AS y0, round(y, 4) AS y1, round(y, 4) AS y2, round(y, 4) AS y3 FROM p QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY ds) > 26")
+def fitted_inverse_auto(spark, sf_dir):
+    """Chosen differences and powers map back to the values themselves, but for the rows that differences use up."""
+    df = _monthly(spark, sf_dir)
+    out = df.select("unique_id", "ds", F.row_number().over(Window.partitionBy("unique_id").orderBy("ds")).alias("n")).filter("n > 26").drop("n")
+    for i, t in enumerate((tt.AutoDifferences(2), tt.AutoSeasonalDifferences(12, 1), tt.AutoSeasonalityAndDifferences(13, 1), tt.LocalBoxCox())):
+        back = t.inverse_fitted(t.fit_transform(df, R).select("unique_id", "ds", "y"), ["y"])
+        out = out.join(back.select("unique_id", "ds", F.round("y", 4).alias(f"y{i}")), ["unique_id", "ds"])
+    return out
+
+
+_SHOWN_80 = "round({k}naive, 4) AS naive, round({k}naive - w80, 4) AS lo80, round({k}naive + w80, 4) AS hi80"
+
+
+@query("weighted_conformal_error", _CV + """, wt AS (SELECT DISTINCT unique_id, CAST(1 + length(unique_id) % 3 AS DOUBLE) AS w FROM p), x AS (SELECT step, abs(y - naive) AS e, w FROM c JOIN wt USING (unique_id)),
+t AS (SELECT step, e, sum(w) OVER (PARTITION BY step ORDER BY e) / (sum(w) OVER (PARTITION BY step) + (SELECT avg(w) FROM x)) AS s FROM x), s AS (SELECT step, min(e) FILTER (WHERE s >= 0.8 - 1e-12) AS w80 FROM t GROUP BY step)""" + _LAST + f"""
+SELECT f.unique_id, f.ds, {_SHOWN_80.format(k='')} FROM f JOIN s USING (step)""")
+def weighted_conformal_error(spark, sf_dir):
+    df = _monthly(spark, sf_dir)
+    panel = _naive().fit(df, prediction_intervals=iv.PredictionIntervals(3, 6, "weighted_conformal_error"))
+    weights = df.select("unique_id", (1 + F.length("unique_id") % 3).cast("double").alias("weight")).distinct()
+    return shown(panel.predict(6, level=[80], weights=weights), {"naive": "naive", "naive-lo-80": "lo80", "naive-hi-80": "hi80"})
+
+
+@query("transfer_error_scaled", _CV + """, e AS (SELECT 10 * abs(y - naive) AS e FROM r JOIN (VALUES (0), (1)) t(a) ON b > a AND b <= a + 6),
+k AS (SELECT (SELECT quantile_cont(e, 0.75) - quantile_cont(e, 0.25) FROM e) / (SELECT quantile_cont(abs(y - naive), 0.75) - quantile_cont(abs(y - naive), 0.25) FROM c) AS k),
+s AS (SELECT step, quantile_cont(abs(y - naive), 0.8) * (SELECT k FROM k) AS w80 FROM c GROUP BY step)""" + _LAST + f"""
+SELECT 'new_' || f.unique_id AS unique_id, f.ds, {_SHOWN_80.format(k='10 * ')} FROM f JOIN s USING (step)""")
+def transfer_error_scaled(spark, sf_dir):
+    return _moved(spark, sf_dir, iv.TransferConformal("error_scaled", n_windows=2))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark import cloudpickle
 
-from ..operators.models import FeatureModel, Fitted
+from ..operators.models import ArrayModel, FeatureModel, Fitted
 
 
 def _write(spark, path: str, data: bytes) -> None:
@@ -32,6 +32,8 @@ def save(panel: Any, path: str) -> None:
         for h, fitted in own.items() if isinstance(own, dict) else [(0, own)]:
             if isinstance(fitted.model, FeatureModel):
                 models[name, h] = ("feature", fitted.model.feature, fitted.features)
+            elif isinstance(fitted.model, ArrayModel):
+                models[name, h] = ("array", fitted.model, fitted.features)
             else:
                 fitted.model.write().overwrite().save(f"{path}/models/{name}/{h}")
                 models[name, h] = (type(fitted.model).__module__, type(fitted.model).__name__, fitted.features)
@@ -76,7 +78,7 @@ def load(spark, path: str) -> Any:
         plan.history = t.update(plan.history)
     panel.steps, panel.fitted = found["steps"], {}
     for (name, h), (module, kind, features) in found["models"].items():
-        model = FeatureModel(kind) if module == "feature" else getattr(importlib.import_module(module), kind).load(f"{path}/models/{name}/{h}")
+        model = FeatureModel(kind) if module == "feature" else kind if module == "array" else getattr(importlib.import_module(module), kind).load(f"{path}/models/{name}/{h}")
         fitted = Fitted(model, features)
         if panel.steps:
             panel.fitted.setdefault(name, {})[h] = fitted

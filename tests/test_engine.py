@@ -1,7 +1,10 @@
 """Fitting, prediction, back-tests, intervals, state."""
 
+import sys
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from panelloom.operators import intervals as iv
 from panelloom.operators import lag_transforms as lt
 from panelloom.operators import targets as tt
 from panelloom.operators.exog import transform_exog
-from panelloom.operators.models import FeatureModel, name_models
+from panelloom.operators.models import ArrayModel, FeatureModel, name_models
 from panelloom.operators.tuning import AutoPanel, AutoRidge, BoostingCV
 from panelloom.plans.engine import Panel
 from panelloom.plans.features import Roles
@@ -19,6 +22,8 @@ from panelloom.sources.generators import generate_daily_series, generate_prices_
 from panelloom.streaming.append import append_stream, history
 
 R = Roles()
+# Executors can't import this file: its classes travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @pytest.fixture(scope="module")
@@ -317,3 +322,76 @@ def test_weights_of_scores(spark, daily):
     assert (out["naive-lo-50"] <= out["naive-hi-50"]).all() and out["naive-hi-50"].notna().all()
     with pytest.raises(ValueError):
         panel.predict(2, level=[50], weights=weights, ids=["id_1"])
+
+
+class Line:
+    """Least squares over arrays."""
+
+    def fit(self, X, y, sample_weight=None, shift=0.0):
+        w = np.ones(len(y)) if sample_weight is None else np.sqrt(sample_weight)
+        self.beta = np.linalg.lstsq(np.column_stack([np.nan_to_num(X), np.ones(len(X))]) * w[:, None], y * w, rcond=None)[0]
+        self.beta[-1] += shift
+        return self
+
+    def predict(self, X):
+        return np.column_stack([np.nan_to_num(X), np.ones(len(X))]) @ self.beta
+
+
+class Half:
+    """A transformer over arrays."""
+
+    def fit(self, x):
+        self.mean = x.mean()
+        return self
+
+    def transform(self, x):
+        return (x - self.mean) / 2
+
+    def inverse_transform(self, x):
+        return x * 2 + self.mean
+
+
+def test_models_over_arrays(spark, daily, tmp_path):
+    options = dict(freq="D", lags=[1, 7])
+    panel = Panel({"a": Line(), "b": LinearRegression(solver="normal")}, **options).fit(daily, static_features=["static_0"])
+    got = values(panel.predict(5), "a", "b")
+    assert np.allclose(got["a"], got["b"], rtol=1e-6)
+    stepped = values(panel.predict(5, before_predict_callback=lambda x: x), "a")
+    assert np.allclose(stepped["a"], got["a"])
+    path = f"file://{tmp_path}/arrays"
+    panel.save(path)
+    assert np.allclose(values(Panel.load(spark, path).predict(5), "a")["a"], got["a"])
+    more = Panel({"a": Line(), "b": LinearRegression(solver="normal")}, **options)
+    more.fit(daily, static_features=["static_0"], models_fit_kwargs={"a": {"shift": 1.0}, "b": {"regParam": 5.0}})
+    ahead = values(more.predict(1), "a", "b")
+    first = values(panel.predict(1), "a", "b")
+    assert np.allclose(ahead["a"], first["a"] + 1) and not np.allclose(ahead["b"], first["b"])
+    with pytest.raises(ValueError):
+        more.fit(daily, static_features=["static_0"], models_fit_kwargs={"c": {}})
+    with pytest.raises(ValueError):
+        Panel({"a": ArrayModel(Line(), most_rows=10)}, **options).fit(daily, static_features=["static_0"])
+    assert name_models([ArrayModel(Line())]).keys() == {"Line"}
+
+
+def test_fitted_transformer(spark, daily):
+    plain = values(naive().fit(daily, static_features=["static_0"]).predict(9), "naive")
+    mapped = naive(target_transforms=[tt.GlobalFitted(Half())]).fit(daily, static_features=["static_0"])
+    assert np.allclose(values(mapped.predict(9), "naive")["naive"], plain["naive"])
+    with pytest.raises(ValueError):
+        tt.GlobalFitted(Half(), most_rows=3).fit_transform(daily, R)
+
+
+def test_nulls_and_short_future(spark, daily):
+    df = daily.withColumn("price", F.col("y") * 2)
+    panel = Panel({"line": Line()}, "D", lags=[1], lag_transforms={1: [lt.RollingMean(100)]}).fit(df.limit(0).union(df), static_features=["static_0"], dropna=False)
+    name = "rolling_mean_lag1_window_size100"
+    future = panel.make_future_dataframe(2).withColumn("price", F.lit(1.0))
+    assert panel.null_inputs(future) == {name: 4}
+    with pytest.warns(UserWarning, match=name):
+        panel.predict(2, X_df=future, before_predict_callback=lambda x: x).count()
+    first = panel.make_future_dataframe(1).withColumn("price", F.lit(1.0))
+    with pytest.warns(UserWarning, match="4 of 8"):
+        panel.predict(2, X_df=first).count()
+    some = first.filter(F.col("unique_id") != first.agg(F.max("unique_id")).first()[0])
+    with pytest.raises(ValueError, match="at least one"):
+        panel.predict(2, X_df=some)
