@@ -298,18 +298,43 @@ def _partition_local(df: DataFrame, roles: Roles, scope: Scope, parts: Features)
     return base.drop(*keys, f"{X}ord", f"{X}id", *own)
 
 
+def _spread_quantiles(values: DataFrame, agg: DataFrame, keys: list[str], parts: Features) -> DataFrame:
+    """agg with quantiles over bounded windows of raw values.
+
+    values: keys, time, value and how often it occurs. Each goes to the times whose window holds it, so that a task has the values of one
+    bucket and window at most, as counts by value, and partial counts are merged before they are shuffled.
+    """
+    at = agg.select(*(F.col(k).alias(f"{k}a") for k in keys), F.col(f"{X}t").alias(f"{X}ta"), F.col(f"{X}ord"))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}a")) for k in keys] + [F.col(f"{X}tv") == F.col(f"{X}ta")]
+    placed = values.join(at, _all(same)).select(*keys, f"{X}ord", f"{X}y", f"{X}times")
+    out = agg
+    for name, (tfm, lag) in parts.items():
+        step = tfm.season_length if tfm.kind == "seasonal" else 1
+        first = F.col(f"{X}ord") + lag
+        asked = F.sequence(first, first + (tfm.window_size - 1) * step, F.lit(step).cast("long"))
+        rows = placed.select(*(F.col(k).alias(f"{k}s") for k in keys), F.explode(asked).alias(f"{X}os"), f"{X}y", f"{X}times")
+        stat = F.when(F.sum(f"{X}times") >= max(tfm.least, 1), F.percentile(f"{X}y", F.lit(float(tfm.p)), F.col(f"{X}times")))
+        found = rows.groupBy(*(f"{k}s" for k in keys), f"{X}os").agg(stat.alias(name))
+        same = [F.col(k).eqNullSafe(F.col(f"{k}s")) for k in keys] + [F.col(f"{X}ord") == F.col(f"{X}os")]
+        out = out.join(found, _all(same), "left").drop(*(f"{k}s" for k in keys), f"{X}os")
+    return out
+
+
 def _pooled(df: DataFrame, roles: Roles, scope: Scope, parts: Features) -> DataFrame:
     """Buckets of many series: aggregate by bucket and time, number the times by the scope's calendar, window, join back."""
     y = value_of(roles.target)
     scope_names = scope.groupby or ()
     base, keys = _with_keys(df, scope_names + (scope.partition_by or ()))
     calendar_keys = keys[: len(scope_names)]
-    levels = _levels(parts)
+    spread = {n: p for n, p in parts.items() if p[0].stat == "quantile" and p[0].kind in ("rolling", "seasonal") and p[0].time_agg is None}
+    windows = {n: p for n, p in parts.items() if n not in spread}
+    levels = _levels(windows)
     aggregates = {}
     for level in levels:
-        aggregates |= {_column(level, k): c for k, c in _aggregates(y, level, _raw(parts, level)).items()}
+        aggregates |= {_column(level, k): c for k, c in _aggregates(y, level, _raw(windows, level)).items()}
     time = q(roles.time)
-    agg = base.groupBy(*keys, time.alias(f"{X}t")).agg(*(c.alias(n) for n, c in aggregates.items()))
+    by_time = base.groupBy(*keys, time.alias(f"{X}t"))
+    agg = by_time.agg(*(c.alias(n) for n, c in aggregates.items())) if aggregates else by_time.agg(F.count(F.lit(1)).alias(_column(None, "rows")))
     order = F.dense_rank().over(Window.partitionBy(*calendar_keys).orderBy(f"{X}t")).cast("long").alias(f"{X}ord")
     if scope.partition_by:
         calendar = base.select(*(F.col(k).alias(f"{k}c") for k in calendar_keys), time.alias(f"{X}tc")).distinct()
@@ -320,7 +345,11 @@ def _pooled(df: DataFrame, roles: Roles, scope: Scope, parts: Features) -> DataF
     else:
         agg = agg.select("*", order)
     agg = _expand_levels(agg, levels)
-    found = _bucket_features(agg, keys, parts)
+    if spread:
+        values = base.select(*keys, time.alias(f"{X}tv"), y.alias(f"{X}y")).filter(F.col(f"{X}y").isNotNull())
+        values = values.groupBy(*keys, f"{X}tv", f"{X}y").agg(F.count(F.lit(1)).alias(f"{X}times"))
+        agg = _spread_quantiles(values, agg, keys, spread)
+    found = _bucket_features(agg, keys, windows)
     found = found.select(*(F.col(k).alias(f"{k}r") for k in keys), F.col(f"{X}t").alias(f"{X}tr"), *parts)
     same = [F.col(k).eqNullSafe(F.col(f"{k}r")) for k in keys] + [time == F.col(f"{X}tr")]
     return base.join(found, _all(same), "left").drop(*keys, *(f"{k}r" for k in keys), f"{X}tr")

@@ -201,6 +201,16 @@ features_query(
       round((SELECT max(x.y) FROM base x WHERE x.promo = b.promo AND (b.ord - 2 - x.ord) IN (0, 12, 24)), 4) AS max FROM base b""",
 )
 
+features_query(
+    "seasonal_pooled_quantile",
+    [(1, lt.SeasonalRollingQuantile(0.25, 6, 2, min_samples=1, groupby="region")), (2, lt.RollingQuantile(0.75, 4, min_samples=2, groupby="region", partition_by="promo"))],
+    ["seasonal", "rolling"],
+    P1 + """, base AS (SELECT *, dense_rank() OVER (ORDER BY ds) AS ord FROM p)
+    SELECT b.unique_id, b.ds,
+      round((SELECT quantile_cont(x.y, 0.25) FROM base x WHERE x.region = b.region AND (b.ord - 1 - x.ord) IN (0, 6)), 4) AS seasonal,
+      round((SELECT CASE WHEN count(*) >= 2 THEN quantile_cont(x.y, 0.75) END FROM base x WHERE x.region = b.region AND x.promo = b.promo AND b.ord - x.ord BETWEEN 2 AND 5), 4) AS rolling FROM base b""",
+)
+
 
 @query("date_features", P1 + """SELECT unique_id, ds, CAST(year(ds) AS INT) AS year, CAST(month(ds) AS INT) AS month, CAST(day(ds) AS INT) AS day, CAST(dayofyear(ds) AS INT) AS dayofyear,
     CAST(weekofyear(ds) AS INT) AS week, CAST(quarter(ds) AS INT) AS quarter, CAST(isodow(ds) - 1 AS INT) AS dayofweek, CAST(day(last_day(ds)) AS INT) AS daysinmonth,
