@@ -13,11 +13,11 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Distinct words that a process remembers, and how many stay when they are too many: those met in most batches.
-MOST_WORDS, WORDS_STAY = 400_000, 200_000
+MOST_WORDS, WORDS_STAY = 200_000, 100_000
 #: Ids that a process remembers; with many long words these are too many before the words are.
 MOST_IDS = 8_000_000
 #: Bytes of text and texts that are cut into words at once.
-AT_ONCE_BYTES, AT_ONCE_TEXTS = 8 << 20, 8192
+AT_ONCE_BYTES, AT_ONCE_TEXTS = 2 << 20, 8192
 #: Before the first word of a text, which no space precedes, and before one that begins a line. Texts that hold them are encoded whole.
 FIRST, LINE = "\0", "\1"
 #: How a byte-level vocabulary writes a space and a line break.
@@ -274,6 +274,7 @@ def slices(texts: pa.Array) -> Iterator[pa.Array]:
         high = max(low + 1, int(np.searchsorted(ends, before + AT_ONCE_BYTES, side="right")))
         high = min(high, low + AT_ONCE_TEXTS)
         yield texts.slice(low, high - low)
+        pa.default_memory_pool().release_unused()  # what cutting a run took goes back before the next
         low = high
 
 
