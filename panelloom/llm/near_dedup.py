@@ -34,7 +34,7 @@ BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1_000_000
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 200_000:
             self[word] = h
         return h
 
