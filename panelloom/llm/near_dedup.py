@@ -27,6 +27,8 @@ ROWS_AT_ONCE, AT_ONCE = 256, 100_000
 CELL_BITS = 48
 #: Rows of one bucket that go to one task in a join with what is known of the bucket.
 SALT_ROWS = 512
+#: Bits of the filter for the rows that are cut into shingles again: so many a row, rounded up to a power of two, within these bounds.
+FILTER_BITS_A_ROW, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 28
 #: Texts and shingles of a block in the full comparison of large buckets, about.
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1_000_000
 
@@ -57,10 +59,16 @@ def unit_cells(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.unique(cells(elements, counts)[1] >> np.uint64(64 - CELL_BITS)).view(np.int64)
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, and its hashes alone and with the id."""
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
+    return rows.select("id", "t", F.xxhash64("t").alias("text_hash"), F.xxhash64("id", "t", F.lit(5)).alias("row_hash"))
+
+
 def signed(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, band_rows: int, by_count: bool) -> DataFrame:
-    """uid, id, text hash, hash of the shingle set, its size, its cells and band keys, for every document."""
+    """uid, id, hashes of the text and the row, hash of the shingle set, its size and band keys, for every document."""
     kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, text_hash long, set_hash binary, n int, shingles array<long>, bands array<long>"
+    schema = f"id {kind}, text_hash long, row_hash long, set_hash binary, n int, bands array<long>"
 
     def some_rows(batch: pd.DataFrame, known: _Words) -> pd.DataFrame:
         prime = np.uint64(0x100000001B3)
@@ -84,14 +92,13 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int,
                     key = mix(key * prime + sig[:, r::band_rows])
                 keys[some] = key + np.array([salt(b + 1) for b in range(bands)])
             low = high
-        flat = [unit_cells(*s) for s in own]
         return pd.DataFrame({
             "id": batch["id"],
-            "text_hash": batch["h"],
+            "text_hash": batch["text_hash"],
+            "row_hash": batch["row_hash"],
             "set_hash": [xxhash.xxh128_digest(np.sort(cells(*s)[1]).tobytes()) for s in own],
-            "n": [len(s) for s in flat],
-            "shingles": flat,
-            "bands": [k.view(np.int64) if len(s) else np.empty(0, np.int64) for s, k in zip(flat, keys, strict=True)],
+            "n": [len(unit_cells(*s)) for s in own],
+            "bands": [k.view(np.int64) if len(elements) else np.empty(0, np.int64) for (elements, _), k in zip(own, keys, strict=True)],
         })
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,8 +107,38 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int,
             for low in range(0, len(batch), ROWS_AT_ONCE):
                 yield some_rows(batch.iloc[low : low + ROWS_AT_ONCE], known)
 
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
-    return rows.mapInPandas(run, schema).withColumn("uid", F.monotonically_increasing_id())
+    return _rows(docs, id_col, text_col).mapInPandas(run, schema).withColumn("uid", F.monotonically_increasing_id())
+
+
+def _filtered(rows: DataFrame, met: DataFrame, n_met: int) -> DataFrame:
+    """Rows whose row_hash is one of met's, and a few others: a bitmap of bounded size goes to the rows, so that only these are shuffled."""
+    bits = min(max(1 << (max(1, n_met) * FILTER_BITS_A_ROW - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    place = F.pmod("row_hash", F.lit(bits))
+    part, at = F.shiftright(place, 15).cast("int"), place.bitwiseAND(F.lit(32767))
+    bitmaps = met.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(at).alias("bitmap"))
+    byte = F.conv(F.hex(F.substring("bitmap", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("part", part).join(F.broadcast(bitmaps), "part")
+    return found.filter(F.pmod(F.floor(byte / F.pow(F.lit(2.0), at.bitwiseAND(F.lit(7)))), F.lit(2)) == 1).select(*rows.columns)
+
+
+def cells_of(rows: DataFrame, met: DataFrame, n_met: int, words: int, by_count: bool) -> DataFrame:
+    """uid and cells of met (uid, text_hash, row_hash), whose texts are read and cut into shingles again.
+
+    Most texts share a band with no other, so keeping the cells of all takes far more disk than reading texts twice.
+    """
+    same = _filtered(rows, met, n_met).join(met, ["text_hash", "row_hash"])
+    # Repeated rows are one.
+    once = same.groupBy("text_hash", "row_hash", "uid").agg(F.first("t").alias("t")).select("uid", "t")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Words()
+        for batch in batches:
+            for low in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.iloc[low : low + ROWS_AT_ONCE]
+                own = [shingles(t, words, known) for t in part["t"]]
+                yield pd.DataFrame({"uid": part["uid"], "shingles": [unit_cells(e, c if by_count else np.ones_like(c)) for e, c in own]})
+
+    return once.mapInPandas(run, "uid long, shingles array<long>")
 
 
 def _small_pairs(members: DataFrame, counts: DataFrame, similarity: float) -> DataFrame:
@@ -292,8 +329,9 @@ def near_groups(
         .distinct()
     )
     # Only texts that share a band are ever compared.
-    met = keep(members.select("uid").distinct(), "met")
-    sets = keep(every.join(met, "uid", "left_semi").select("uid", "shingles"), "cells", **narrow)
+    met = members.select("uid").distinct()
+    met = keep(every.join(met, "uid", "left_semi").select("uid", "text_hash", "row_hash"), "met")
+    sets = keep(cells_of(_rows(docs, id_col, text_col), met, met.count(), words, by_count), "cells", **narrow)
     links = keep(_checked(keep(pairs, "pairs"), sets, similarity), "links")
     roots = keep(components(links, folder), "roots")
 

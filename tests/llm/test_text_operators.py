@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelloom.llm import exact_dedup, mixing, near_dedup, packing, quality, sharding, token_files
@@ -273,6 +274,36 @@ def test_near_groups(spark):
     assert kept.columns == frame(spark, []).columns
 
 
+def test_near_groups_keep_cells_of_texts_that_share_a_band_only(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [words(rng, 300) for _ in range(150)]
+    near = [f"{texts[0]} more", f"{texts[1]} more", f"{texts[1]} less"]
+    rows = [(i, t, "s") for i, t in enumerate(texts + near + [texts[2]])] + [(0, texts[0], "s"), (None, near[0], "s"), (None, near[2], "s")] * 2
+    held, write = [], near_dedup.written
+
+    def counted(df, path, **options):
+        out = write(df, path, **options)
+        if "shingles" in out.columns:
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    got = near_dedup.near_groups(frame(spark, rows)).collect()
+    assert held == [5]
+    classes = brute_classes([r[1] for r in rows])
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["class_id"]) for r in got) == sorted((r[0] is None, r[0], rows[c][0]) for r, c in zip(rows, classes, strict=True))
+
+
+def test_filter_of_rows_keeps_all_that_are_wanted(spark):
+    rng = random.Random(3)
+    hashes = [(rng.getrandbits(64) - 2**63,) for _ in range(20_000)]
+    rows = spark.createDataFrame([*hashes, (-(2**63),), (2**63 - 1,), (0,)], "row_hash long")
+    met = rows.filter((F.col("row_hash") % 10 == 0) | F.col("row_hash").isin(-(2**63), 2**63 - 1))
+    found = near_dedup._filtered(rows, met, met.count())
+    assert found.columns == rows.columns and met.join(found, "row_hash", "left_anti").isEmpty()
+    assert met.count() <= found.count() < 1.5 * met.count()
+
+
 def from_template(rng, template, n):
     """The template with n of its words changed."""
     own = list(template)
