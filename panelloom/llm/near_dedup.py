@@ -68,7 +68,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def signed(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, band_rows: int, by_count: bool) -> DataFrame:
     """uid, id, hashes of the text and the row, hash of the shingle set, its size and band keys, for every document."""
     kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, text_hash long, row_hash long, set_hash binary, n int, bands array<long>"
+    schema = f"id {kind}, no_id boolean, text_hash long, row_hash long, set_hash binary, n int, bands array<long>"
 
     def some_rows(batch: pd.DataFrame, known: _Words) -> pd.DataFrame:
         prime = np.uint64(0x100000001B3)
@@ -94,6 +94,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int,
             low = high
         return pd.DataFrame({
             "id": batch["id"],
+            "no_id": batch["no_id"],
             "text_hash": batch["text_hash"],
             "row_hash": batch["row_hash"],
             "set_hash": [xxhash.xxh128_digest(np.sort(cells(*s)[1]).tobytes()) for s in own],
@@ -107,7 +108,12 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int,
             for low in range(0, len(batch), ROWS_AT_ONCE):
                 yield some_rows(batch.iloc[low : low + ROWS_AT_ONCE], known)
 
-    return _rows(docs, id_col, text_col).mapInPandas(run, schema).withColumn("uid", F.monotonically_increasing_id())
+    rows = _rows(docs, id_col, text_col).withColumn("no_id", F.col("id").isNull())
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        # Pandas holds whole numbers beside nulls as doubles, which keep 53 bits.
+        rows = rows.withColumn("id", F.coalesce("id", F.lit(0).cast(kind)))
+    found = rows.mapInPandas(run, schema).withColumn("id", F.when(~F.col("no_id"), F.col("id"))).drop("no_id")
+    return found.withColumn("uid", F.monotonically_increasing_id())
 
 
 def _filtered(rows: DataFrame, met: DataFrame, n_met: int) -> DataFrame:

@@ -294,6 +294,14 @@ def test_near_groups_keep_cells_of_texts_that_share_a_band_only(spark, monkeypat
     assert sorted((r["doc_id"] is None, r["doc_id"], r["class_id"]) for r in got) == sorted((r[0] is None, r[0], rows[c][0]) for r, c in zip(rows, classes, strict=True))
 
 
+def test_near_groups_keep_large_ids_beside_null_ones(spark):
+    rows = [(2**60 + 1, "a b c", "s"), (None, "d e f", "s"), (2**60 + 2, "g", "s"), (-(2**63) + 1, "a b c", "s")]
+    docs = frame(spark, rows).coalesce(1)
+    got = sorted((r["doc_id"] or 0, r["class_id"]) for r in near_dedup.near_groups(docs).collect())
+    assert got == [(-(2**63) + 1, -(2**63) + 1), (0, None), (2**60 + 1, -(2**63) + 1), (2**60 + 2, 2**60 + 2)]
+    assert sorted(r["doc_id"] or 0 for r in near_dedup.drop_near(docs).collect()) == [-(2**63) + 1, 0, 2**60 + 2]
+
+
 def test_filter_of_rows_keeps_all_that_are_wanted(spark):
     rng = random.Random(3)
     hashes = [(rng.getrandbits(64) - 2**63,) for _ in range(20_000)]
