@@ -9,6 +9,7 @@ import warnings
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark import SparkContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -195,6 +196,15 @@ def robust_ratio(target: DataFrame, source: DataFrame, column: str) -> float:
     return a / b if b > 0 and a > 0 else sa / sb if sb > 0 and sa > 0 else 1.0
 
 
+def _without_summary(model: Any) -> Any:
+    """A copy without the summary of its training, which holds the session: executors can't be sent that once it has seen an Observation."""
+    if not getattr(model, "hasSummary", False):
+        return model
+    out = model.copy()
+    out._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return out
+
+
 def estimate_density_ratio(source: DataFrame, target: DataFrame, features: list[str], cv: int = 5, clip_quantile: float = 0.99, classifier: Any = None) -> DataFrame:
     """source with weight: cross-fitted odds that a row belongs to the target, capped at a quantile. Folds are dealt by a hash of the features."""
     both = source.select("*", F.lit(0.0).alias("__y")).unionByName(target.select("*", F.lit(1.0).alias("__y")), allowMissingColumns=True)
@@ -208,7 +218,7 @@ def estimate_density_ratio(source: DataFrame, target: DataFrame, features: list[
 
     parts = None
     for k in range(cv):
-        fitted = model.fit(rows.filter(F.col("__fold") != k))
+        fitted = _without_summary(model.fit(rows.filter(F.col("__fold") != k)))
         p = vector_to_array(F.col("probability"))[1]
         own = fitted.transform(rows.filter((F.col("__fold") == k) & (F.col("__y") == 0)))
         own = own.withColumn("weight", F.greatest(p / F.greatest(1 - p, F.lit(1e-12)), F.lit(1e-10)))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from panelloom.functions import tests_of_series as ts
@@ -204,6 +205,15 @@ def test_transfer(spark, daily, tmp_path):
     np.testing.assert_allclose(again.sort_values(["unique_id", "ds"])[columns], wide.sort_values(["unique_id", "ds"])[columns])
 
 
+def test_density_ratio_after_an_observation(spark):
+    # From the first observation on, a session can't be serialised, nor a model that holds one.
+    spark.range(3).observe(Observation(), F.count(F.lit(1)).alias("n")).collect()
+    source = spark.range(40).select((F.col("id") / 10).alias("x"))
+    out = iv.estimate_density_ratio(source, source.filter("x >= 2"), ["x"], cv=2).orderBy("x").toPandas()
+    assert out.x.tolist() == [i / 10 for i in range(40)] and (out.weight > 0).all()
+    assert out.weight[:10].mean() < out.weight[30:].mean()
+
+
 def test_rejected_new_rows_leave_the_panel_usable(spark, daily):
     panel = naive().fit(daily.drop("static_0"))
     before = values(panel.predict(2), "naive")
