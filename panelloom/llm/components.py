@@ -22,6 +22,8 @@ def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     spark = edges.sparkSession
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     path, folder = None, folder or shared_path(spark, "components")
+    # Each round has at most as many edges as the first plus its nodes, of which each edge has two.
+    most_rows = 3 * edges.count()
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -31,7 +33,7 @@ def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
         small = large.join(lower, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct()
         there = f"{folder}/stars-{uuid.uuid4().hex}"
-        now = written(small, there)
+        now = written(small, there, most_rows=most_rows)
         if path:
             remove(spark, path)
         path = there

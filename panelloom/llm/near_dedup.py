@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, remove, shared_path, shared_root, text_of, written
+from .common import P, giving_back, remove, shared_path, shared_root, text_of, written
 from .components import components
 from .dartminhash import cells, mix, salt, signatures
 
@@ -102,6 +102,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int,
             "bands": [k.view(np.int64) if len(elements) else np.empty(0, np.int64) for (elements, _), k in zip(own, keys, strict=True)],
         })
 
+    @giving_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Words()
         for batch in batches:
@@ -136,6 +137,7 @@ def cells_of(rows: DataFrame, met: DataFrame, n_met: int, words: int, by_count:
     # Repeated rows are one.
     once = same.groupBy("text_hash", "row_hash", "uid").agg(F.first("t").alias("t")).select("uid", "t")
 
+    @giving_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Words()
         for batch in batches:
@@ -265,6 +267,7 @@ def _block_links(blocks: DataFrame, similarity: float) -> DataFrame:
     for side in "ab":
         pairs = pairs.join(blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in [*names, "roots", "sizes", "flat"])), ["key", *(f"{c}_{side}" for c in names)])
 
+    @giving_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = set()
@@ -321,8 +324,9 @@ def near_groups(
     # Sorted cells as differences take less than their full width.
     narrow = {"parquet.writer.version": "v2", "compression": "zstd"}
     every = keep(signed(docs, id_col, text_col, words, bands, band_rows, by_count), "signed", **narrow)
+    n_rows = every.count()
     # Equal sets become one text, with partial aggregation before the shuffle however many copies there are.
-    same = keep(every.groupBy("set_hash").agg(F.min("uid").alias("rep")), "sets")
+    same = keep(every.groupBy("set_hash").agg(F.min("uid").alias("rep")), "sets", most_rows=n_rows)
     texts = every.join(same, every["uid"] == same["rep"], "left_semi")
     members = texts.filter("n > 0").select("uid", "n", F.explode("bands").alias("key"))
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -336,21 +340,21 @@ def near_groups(
     )
     # Only texts that share a band are ever compared.
     met = members.select("uid").distinct()
-    met = keep(every.join(met, "uid", "left_semi").select("uid", "text_hash", "row_hash"), "met")
+    met = keep(every.join(met, "uid", "left_semi").select("uid", "text_hash", "row_hash"), "met", most_rows=n_rows)
     sets = keep(cells_of(_rows(docs, id_col, text_col), met, met.count(), words, by_count), "cells", **narrow)
     links = keep(_checked(keep(pairs, "pairs"), sets, similarity), "links")
-    roots = keep(components(links, folder), "roots")
+    roots = keep(components(links, folder), "roots", most_rows=n_rows)
 
     def merged(roots: DataFrame, found: DataFrame, label: str) -> DataFrame:
         """Roots after further links between classes (a, b): components of classes, a small graph, and each node's class in it."""
         found = keep(found.distinct(), f"{label}-links")
         if found.isEmpty():
             return roots
-        above = keep(components(found, folder), f"{label}-classes").select(F.col("node").alias("root"), F.col("root").alias("above"))
+        above = keep(components(found, folder), f"{label}-classes", most_rows=n_rows).select(F.col("node").alias("root"), F.col("root").alias("above"))
         # A class of one text is no node yet.
         alone = above.select(F.col("root").alias("node"), "root").join(roots.select("node"), "node", "left_anti")
         known = roots.unionByName(alone).join(above, "root", "left")
-        return keep(known.select("node", F.coalesce("above", "root").alias("root")), f"{label}-roots")
+        return keep(known.select("node", F.coalesce("above", "root").alias("root")), f"{label}-roots", most_rows=n_rows)
 
     # Large buckets with texts of several classes: further leaders meet the texts of other classes.
     placed = _rooted(large, roots)
@@ -371,7 +375,7 @@ def near_groups(
         F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "class_size",
         (F.col("uid") == F.col("first.uid")).alias("kept"), "text_hash",
     )
-    out = written(out, shared_path(spark, "near"))
+    out = written(out, shared_path(spark, "near"), most_rows=n_rows)
     remove(spark, folder)
     return out
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P
+from .common import P, giving_back
 from .encode import encoder, slices
 
 
@@ -145,6 +145,7 @@ def pack(
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = ", ".join([f"`{id_col}` {kind}", *(f"{n} long" for n in names), *(["ids array<int>"] if with_ids else [])])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

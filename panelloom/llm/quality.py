@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, text_of
+from .common import P, giving_back, text_of
 
 #: Bound of the fit: labelled documents for each label, each with its whole text.
 MOST_LABELLED = 1500
@@ -148,6 +148,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     """docs with a score (double, 0 to 1), which replaces a column of that name. Null and empty texts get the score of an even difference; long ones count whole."""
 
     @F.pandas_udf("double")
+    @giving_back
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([model.score(t) for t in batch], dtype="float64")

@@ -1,17 +1,21 @@
 """Exact copies, mixing, packing, token files, quality, near copies: brute force on small tables with every odd case."""
 
+import contextlib
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import psutil
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelloom.llm import exact_dedup, mixing, near_dedup, packing, quality, sharding, token_files
+from panelloom.llm import common, exact_dedup, mixing, near_dedup, packing, quality, sharding, token_files
 from panelloom.llm.components import components
 from panelloom.llm.dartminhash import mix, signatures
 from panelloom.llm.encode import Encoder
@@ -302,6 +306,55 @@ def test_near_groups_keep_large_ids_beside_null_ones(spark):
     assert sorted(r["doc_id"] or 0 for r in near_dedup.drop_near(docs).collect()) == [-(2**63) + 1, 0, 2**60 + 2]
 
 
+def test_few_rows_make_few_files(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [words(rng, 40) for _ in range(120)]
+    rows = [(i, t, "s") for i, t in enumerate(texts + [f"{t} more" for t in texts[:60]])]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("30", "false"), strict=True):
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200, 2)], "a long, b long")
+        stars = components(edges)
+        assert len(stars.inputFiles()) == 1 and stars.count() == 200
+        groups = near_dedup.near_groups(frame(spark, rows))
+        assert len(groups.inputFiles()) == 1
+        got = {r["doc_id"]: r["class_id"] for r in groups.collect()}
+        monkeypatch.setattr(common, "ROWS_A_FILE", 50)
+        groups = near_dedup.near_groups(frame(spark, rows))
+        assert len(groups.inputFiles()) == 4
+        assert got == {r["doc_id"]: r["class_id"] for r in groups.collect()} == dict(enumerate(brute_classes([r[1] for r in rows])))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def worker_mb():
+    """MB of all Python workers below this process."""
+    total = 0
+    for p in psutil.Process().children(recursive=True):
+        with contextlib.suppress(psutil.Error, OSError):  # one may end meanwhile
+            if "pyspark.daemon" in " ".join(p.cmdline()):
+                total += sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", Path(f"/proc/{p.pid}/smaps_rollup").read_text())))
+    return total / 1024
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="needs Linux")
+def test_idle_workers_give_memory_back(spark):
+    text = words(random.Random(9), 800)
+    model = quality.fit(["a b c"] * 5 + ["good text"] * 5, [0] * 5 + [1] * 5)
+
+    def run(n):
+        docs = spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.lit(" " + text)).alias("text"))
+        quality.score(docs, model).write.format("noop").mode("overwrite").save()
+        near_dedup.signed(docs, "doc_id", "text", 5, 28, 5, False).write.format("noop").mode("overwrite").save()
+
+    run(10)
+    before = worker_mb()
+    run(8000)
+    assert worker_mb() - before < 30
+
+
 def test_filter_of_rows_keeps_all_that_are_wanted(spark):
     rng = random.Random(3)
     hashes = [(rng.getrandbits(64) - 2**63,) for _ in range(20_000)]
